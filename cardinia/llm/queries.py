@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardinia.llm import bpe, exact_dedup, mixing, sharding, token_counts, toxicity
+from cardinia.llm import bpe, exact_dedup, jaccard_join, mixing, sharding, token_counts, toxicity
 from cardinia.llm._util import table
 
 
@@ -34,8 +34,12 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_rows(table(spark, sf_dir, "documents"))
 
 
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op4_sharding, op6_byte_bpe, op8_mixing, op9_token_counts)
+    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op4_sharding, op6_byte_bpe, op8_mixing, op9_token_counts, op10_jaccard_join)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL}
