@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardinia.llm import bpe, exact_dedup, jaccard_join, mixing, sharding, token_counts, toxicity
+from cardinia.llm import bpe, exact_dedup, jaccard_join, mixing, sharding, token_counts, toxicity, vector_search
 from cardinia.llm._util import table
 
 
@@ -22,6 +22,10 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def op5_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_search.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
@@ -39,7 +43,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op4_sharding, op6_byte_bpe, op8_mixing, op9_token_counts, op10_jaccard_join)
+    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op4_sharding, op5_vector_search, op6_byte_bpe, op8_mixing, op9_token_counts, op10_jaccard_join)
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op5_vector_search": vector_search.SQL}
