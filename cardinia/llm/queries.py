@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardinia.llm import bpe, exact_dedup, jaccard_join, mixing, sharding, token_counts, toxicity, vector_search
+from cardinia.llm import bpe, exact_dedup, html_wrappers, jaccard_join, mixing, sharding, token_counts, toxicity, vector_search
 from cardinia.llm._util import table
 
 
@@ -30,6 +30,10 @@ def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_digests(table(spark, sf_dir, "documents"))
 
 
+def op7_html_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op4_sharding, op5_vector_search, op6_byte_bpe, op8_mixing, op9_token_counts, op10_jaccard_join)
+    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op4_sharding, op5_vector_search, op6_byte_bpe, op7_html_wrappers, op8_mixing, op9_token_counts, op10_jaccard_join)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op5_vector_search": vector_search.SQL}
