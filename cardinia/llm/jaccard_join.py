@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from cardinia.llm._util import written
+from cardinia.llm.bit_filter import bit_filter, holds
 from cardinia.llm.components import components
 from cardinia.llm.shingles import WIDTH, Shingler, class_key, words_of
 
@@ -201,27 +202,6 @@ def late_pairs(found: DataFrame, labels: DataFrame, small: int = SMALL) -> DataF
     return _ordered(me.join(me.select("h", F.col("x").alias("y")), "h").where(once & _possible(x, y)), x["c"], y["c"]).distinct()
 
 
-def bit_filter(keys: DataFrame, at_most: int = 27) -> tuple[int, bytes]:
-    """Bits of the keys (uniform 64-bit integers), 2 ** ``at_most`` of them at most: what it lets through too much is joined away later."""
-    bits = min(at_most, max(15, (16 * keys.count()).bit_length()))
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own: dict[int, np.ndarray] = {}
-        for b in batches:
-            at = b.column(0).to_numpy(zero_copy_only=False)
-            for seg in np.unique(at >> 15):
-                own.setdefault(int(seg), np.zeros(1 << 15, np.uint8))[at[at >> 15 == seg] & 32767] = 1
-        if own:
-            yield pa.RecordBatch.from_arrays([pa.array(list(own), pa.int32()), pa.array([np.packbits(x).tobytes() for x in own.values()], pa.binary())], names=["seg", "bits"])
-
-    at = keys.select(F.col(keys.columns[0]).bitwiseAND(F.lit((1 << bits) - 1)).alias("at")).distinct()
-    packed = at.repartition(F.shiftright("at", 15)).mapInArrow(pack, "seg int, bits binary")
-    out = np.zeros(1 << (bits - 3), np.uint8)
-    for r in packed.collect():  # 2 ** at_most bits at most
-        out[r.seg * 4096 : (r.seg + 1) * 4096] |= np.frombuffer(bytes(r.bits), np.uint8)
-    return bits, out.tobytes()
-
-
 def shingle_sets(docs: DataFrame, text_col: str, keys: DataFrame, width: int = WIDTH) -> DataFrame:
     """(c, s): the sorted shingle hashes of the classes ``keys`` (and a few more); written."""
     bits, raw = bit_filter(keys)
@@ -313,3 +293,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     lowest = marked.where("n > 0").groupBy("label").agg(F.min("id").alias("component"))
     joined = marked.join(lowest, "label", "left")
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
+    """``docs`` without the rows whose id is not the smallest of their component.
+
+    Rows go by their id: those that repeat an id stay or go together; rows without id
+    stay. Only rows that a filter of fixed size suspects are joined with the ids that go.
+    """
+    marked = near_duplicates(docs, id_col, text_col, width)
+    gone = written(marked.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct(), "near-gone")
+    key = F.xxhash64("__gone")
+    bits, raw = bit_filter(gone.select(key.alias("k")))
+    sent = docs.sparkSession.sparkContext.broadcast(raw)
+    keyed = docs.withColumn("__gone", F.col(id_col)).withColumn("__key", F.xxhash64("__gone"))
+    at = len(docs.columns) + 1
+
+    def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.set_column(at, "__key", pa.array(holds(sent.value, bits, b.column(at).to_numpy(zero_copy_only=False)).astype(np.int64)))
+
+    suspected = keyed.mapInArrow(marks, keyed.schema)
+    clear = suspected.where("__key = 0").select(*docs.columns)
+    return clear.unionByName(suspected.where("__key = 1").join(gone, "__gone", "left_anti").select(*docs.columns))

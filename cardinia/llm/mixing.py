@@ -144,3 +144,16 @@ def mix(
 def copies(taken: Column, size: Column) -> Column:
     """How often a document stands in the mix: its taken words in whole documents."""
     return F.when(size > 0, F.floor(taken / size + F.lit(0.5))).otherwise(F.lit(0)).cast("int")
+
+
+def repeated_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """``docs``, each row as often as the mix takes it in whole documents (0, 1 or 2 times).
+
+    Rows are joined to the mix by id; rows that share an id, or have none, follow the
+    average of what the mix takes of them.
+    """
+    mixed = mix(docs, id_col, text_col, source_col, **how)
+    by_id = mixed.groupBy(F.col(id_col).alias("__id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    times = by_id.select("__id", copies(F.col("taken"), F.col("size")).alias("__times")).where("__times > 0")
+    joined = docs.join(times, F.col(id_col).eqNullSafe(F.col("__id")))
+    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardinia.llm import bpe, exact_dedup, html_wrappers, jaccard_join, mixing, sharding, token_counts, toxicity, vector_search
+from cardinia.llm import bpe, exact_dedup, html_wrappers, jaccard_join, mixing, sharding, suffix_dedup, token_counts, toxicity, vector_search
 from cardinia.llm._util import table
 
 
@@ -18,6 +18,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_rows(table(spark, sf_dir, "documents"))
 
@@ -47,7 +51,7 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op4_sharding, op5_vector_search, op6_byte_bpe, op7_html_wrappers, op8_mixing, op9_token_counts, op10_jaccard_join)
+    f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_suffix_dedup, op4_sharding, op5_vector_search, op6_byte_bpe, op7_html_wrappers, op8_mixing, op9_token_counts, op10_jaccard_join)
 }
 
 ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op5_vector_search": vector_search.SQL}
