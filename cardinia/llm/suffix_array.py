@@ -9,6 +9,8 @@ type L precede those of type S, so every bucket is complete when its scan begins
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 
 
@@ -22,7 +24,7 @@ class Texts:
         self.raw = b"\0".join(texts) + b"\0"
         self.symbols = np.frombuffer(self.raw, np.uint8).astype(np.int16)
         self.symbols[self.ends] = -1
-        self.end_of = np.repeat(self.ends, lengths + 1)
+        self.end_of = np.repeat(self.ends.astype(np.int32), lengths + 1)
 
     def small(self) -> np.ndarray:
         """Whether the suffix at each place is smaller than the one after it; end marks are."""
@@ -31,8 +33,8 @@ class Texts:
         kind = np.where(s < after, 1, np.where(s > after, 0, -1)).astype(np.int8)
         kind[self.ends] = 1
         # Equal symbols have the kind of the first place to the right that differs.
-        places = np.arange(len(s))
-        decided = np.minimum.accumulate(np.where(kind >= 0, places, len(s))[::-1])[::-1]
+        places = np.arange(len(s), dtype=np.int32)
+        decided = np.minimum.accumulate(np.where(kind >= 0, places, np.int32(len(s)))[::-1])[::-1]
         return kind[decided] == 1
 
     def directly_sorted(self, places: np.ndarray) -> np.ndarray:
@@ -62,8 +64,8 @@ class Texts:
         """
         small = self.small()
         n = len(self.symbols)
-        places = np.arange(n)
-        next_small = np.minimum.accumulate(np.where(small, places, n)[::-1])[::-1]
+        places = np.arange(n, dtype=np.int32)
+        next_small = np.minimum.accumulate(np.where(small, places, np.int32(n))[::-1])[::-1]
         last = np.flatnonzero(wanted & ~np.append(wanted[1:], False))
         mark = np.zeros(n + 1, np.int32)
         np.add.at(mark, last, 1)
@@ -128,16 +130,24 @@ class Texts:
                 out[i] = low
         return out
 
+    def _equal(self, order: np.ndarray, length: int) -> Iterator[bool]:
+        """Whether each suffix and the next agree in ``length`` bytes; two tails are held at a time."""
+        raw, before = self.raw, None
+        for at in range(0, len(order), 1 << 14):
+            for p in order[at : at + (1 << 14)].tolist():
+                tail = raw[p : p + length]
+                if before is not None:
+                    yield tail == before
+                before = tail
+
     def repeated(self, wanted: np.ndarray, length: int) -> np.ndarray:
         """Mask of the wanted places whose next ``length`` bytes also start at another wanted place."""
         order = self.suffix_array(wanted)
         order = order[wanted[order]]
         out = np.zeros(len(self.symbols), bool)
         if len(order) > 1:
-            raw, places = self.raw, order.tolist()
-            tails = [raw[p : p + length] for p in places]
             enough = self.end_of[order] - order >= length
-            same = np.fromiter((x == y for x, y in zip(tails, tails[1:], strict=False)), bool, len(tails) - 1)
+            same = np.fromiter(self._equal(order, length), bool, len(order) - 1)
             same &= enough[1:] & enough[:-1]
             out[order[1:][same]] = True
             out[order[:-1][same]] = True

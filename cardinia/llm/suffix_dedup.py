@@ -42,7 +42,7 @@ CROWD = 1000
 #: Window starts that are searched for anchors at a time; a text may have any length.
 _SEGMENT = 1 << 20
 #: Bytes of regions that are sorted together, and that a task holds back to send equal ones once.
-_SORTED, _HELD = 4 << 20, 24 << 20
+_SORTED, _HELD = 1 << 20, 8 << 20
 _BASE = 0x9E3779B97F4A7C15
 
 
