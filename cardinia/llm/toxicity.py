@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 BITS = 20
 FACTORS = 4
 #: The bound on the labelled rows that the model is fitted on.
-SAMPLE_ROWS = 24_000
+SAMPLE_ROWS = 16_000
 #: The bound on the buckets that it keeps.
 TERMS = 30_000
 LEAST_DOCS = 3
@@ -104,20 +104,23 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
     none = FactorizationMachine(np.zeros(0, np.int64), bias, np.zeros(0), np.zeros((0, factors)), bits)
     if n == 0 or y.min() == y.max():
         return none
-    flat = np.concatenate([np.asarray(d, np.int64) for d in docs]) if docs else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(n), [len(d) for d in docs])
-    total = np.bincount(flat, minlength=1 << bits)
-    toxic = np.bincount(flat[y[row] > 0], minlength=1 << bits)
+    total, toxic = np.zeros(1 << bits, np.int32), np.zeros(1 << bits, np.int32)
+    for d, label in zip(docs, y, strict=True):  # buckets of a document are distinct
+        total[d] += 1
+        if label > 0:
+            toxic[d] += 1
     # Of the buckets with enough documents, those whose share of toxic ones is least like the whole's.
     odd = np.abs(toxic - total * rate) / np.sqrt(total * rate * (1 - rate) + 1e-9)
     kept = np.flatnonzero((total >= least_docs) & (odd >= least_z))
     kept = np.sort(kept[np.argsort(-odd[kept], kind="stable")[:terms]])
     if not len(kept):
         return none
-    at = np.full(1 << bits, -1)
+    at = np.full(1 << bits, -1, np.int32)
     at[kept] = np.arange(len(kept))
-    col = at[flat]
-    row, col = row[col >= 0], col[col >= 0]
+    found = [at[d] for d in docs]
+    found = [c[c >= 0] for c in found]
+    col = np.concatenate(found)
+    row = np.repeat(np.arange(n), [len(c) for c in found])
     by_col = np.argsort(col, kind="stable")
     row_c, m = row[by_col], len(kept)
     starts_c = np.searchsorted(col[by_col], np.arange(m))
@@ -160,6 +163,15 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
     return FactorizationMachine(kept, float(b), w, v, bits)
 
 
+def packed(ids: list[int]) -> bytes:
+    """Rising bucket numbers, by their differences."""
+    return zlib.compress(np.diff(np.array(ids, np.int32), prepend=0).astype(np.int32).tobytes(), 6)
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    return np.cumsum(np.frombuffer(zlib.decompress(raw), np.int32), dtype=np.int32)
+
+
 def held_out(id_col: Column) -> Column:
     """crc32(id as text) mod 3 is 1: rows that never take part in fitting."""
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 3 == 1
@@ -180,13 +192,13 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms(bits)
         for b in batches:
-            found = [np.array(terms.of(t.as_py()), np.int32).tobytes() for t in b.column(1)]
+            found = [packed(terms.of(t.as_py())) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["y", "ids"])
 
     joined = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(few), "__id")
     # Repeated ids in the documents could bring more rows than asked for: the bound holds for them, too.
     got = joined.select("__y", "__text").mapInArrow(hashed, "y int, ids binary").orderBy(F.xxhash64("ids"), "y").limit(rows).toPandas()
-    return [np.frombuffer(x, np.int32) for x in got["ids"]], got["y"].to_numpy(float)
+    return [unpacked(x) for x in got["ids"]], got["y"].to_numpy(float)
 
 
 def score_rows(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
