@@ -1,0 +1 @@
+"""Expressions that operators are built of."""
