@@ -302,17 +302,16 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     stay. Only rows that a filter of fixed size suspects are joined with the ids that go.
     """
     marked = near_duplicates(docs, id_col, text_col, width)
-    gone = written(marked.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("__gone")).distinct(), "near-gone")
-    key = F.xxhash64("__gone")
-    bits, raw = bit_filter(gone.select(key.alias("k")))
+    gone = written(marked.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("gone")).distinct(), "near-gone")
+    bits, raw = bit_filter(gone.select(F.xxhash64("gone").alias("k")))
     sent = docs.sparkSession.sparkContext.broadcast(raw)
-    keyed = docs.withColumn("__gone", F.col(id_col)).withColumn("__key", F.xxhash64("__gone"))
-    at = len(docs.columns) + 1
+    # The row travels as one struct, so that no name of its columns can clash.
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("gone"), F.xxhash64(id_col).alias("mark"))
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.set_column(at, "__key", pa.array(holds(sent.value, bits, b.column(at).to_numpy(zero_copy_only=False)).astype(np.int64)))
+            yield b.set_column(2, "mark", pa.array(holds(sent.value, bits, b.column(2).to_numpy(zero_copy_only=False)).astype(np.int64)))
 
-    suspected = keyed.mapInArrow(marks, keyed.schema)
-    clear = suspected.where("__key = 0").select(*docs.columns)
-    return clear.unionByName(suspected.where("__key = 1").join(gone, "__gone", "left_anti").select(*docs.columns))
+    suspected = packed.mapInArrow(marks, packed.schema)
+    kept = suspected.where("mark = 0").unionByName(suspected.where("mark = 1").join(gone, "gone", "left_anti"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

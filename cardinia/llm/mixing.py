@@ -153,7 +153,10 @@ def repeated_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     average of what the mix takes of them.
     """
     mixed = mix(docs, id_col, text_col, source_col, **how)
-    by_id = mixed.groupBy(F.col(id_col).alias("__id")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
-    times = by_id.select("__id", copies(F.col("taken"), F.col("size")).alias("__times")).where("__times > 0")
-    joined = docs.join(times, F.col(id_col).eqNullSafe(F.col("__id")))
-    return joined.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    by_id = mixed.groupBy(F.col(id_col).alias("key")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
+    times = by_id.select("key", copies(F.col("taken"), F.col("size")).alias("times")).where("times > 0")
+    # The row travels as one struct, so that no name of its columns can clash.
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("of"))
+    joined = packed.join(times, F.col("of").eqNullSafe(F.col("key")))
+    repeated = joined.select("row", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    return repeated.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
