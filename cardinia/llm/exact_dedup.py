@@ -7,7 +7,7 @@ Three combining stages, each of which compares full content, never digests alone
    with a third of all rows is merged by many tasks;
 3. global: the few salt winners of a digest meet and give the class of the text.
 
-Rows then look up their class by digest. Should two different texts share a digest,
+Rows then look up their class by digest, as often as they stand there. Should two different texts share a digest,
 the rows of that digest, and only they, are looked up by digest and whole text.
 """
 
@@ -51,58 +51,78 @@ def classes_of(texts: DataFrame, salts: int = SALTS) -> DataFrame:
     )
 
 
+def _keyed(docs: DataFrame, id_col: str, text_col: str, digest: Callable[[Column], Column], *more: Column) -> DataFrame:
+    texts = docs.select(F.col(id_col).alias("__id"), normalised(text_col).alias("__text"), *more)
+    return texts.withColumns({"__digest": digest(F.col("__text")), "__sha": F.sha2("__text", 256)})
+
+
 def exact_dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
     salts: int = SALTS,
     digest: Callable[[Column], Column] = sha256_of,
-    carry: bool = False,
 ) -> DataFrame:
     """Classes of equal texts: id, keep_id, group_size, kept, text_sha256 for each row.
 
     Texts are equal when identical after every run of ASCII white space became one
-    space. Null counts as the empty text. Of a class the row with the smallest
-    non-null id stays; rows that repeat both its id and its text stay with it, and
-    if every id of a class is null, all its rows do, as nothing tells them apart.
-    An empty table gives an empty result. Other columns of ``docs`` are left out, or
-    with ``carry`` returned as one struct ``row``, so that their names cannot clash.
+    space. Null counts as the empty text. Of a class one row stays, that with the
+    smallest non-null id (of rows that repeat both id and text, any one; if every id of
+    a class is null, one of its rows). An empty table gives an empty result. Columns
+    other than id and text are not looked at.
     """
-    own = digest is sha256_of
-    more = [F.struct(*docs.columns).alias("row")] if carry else []
-    keyed = docs.select(F.col(id_col).alias("__id"), normalised(text_col).alias("__text"), *more)
-    keyed = keyed.withColumn("__digest", digest(F.col("__text")))
-    if not own:
-        keyed = keyed.withColumn("__sha", F.sha2("__text", 256))
-    cols = ["__id", "__digest", *([] if own else ["__sha"]), *(["row"] if carry else [])]
+    keyed = _keyed(docs, id_col, text_col, digest)
     classes = written(classes_of(keyed.select("__id", "__digest", "__text"), salts), "dedup-classes")
-    joined = keyed.select(*cols).join(classes.where("__texts = 1"), "__digest").select(*cols, "__keep", "__size")
+    # Rows that repeat id and text meet here, so that exactly one of them can stay.
+    rows = ["__digest", "__id", "__sha"]
+    counted = keyed.groupBy(*rows).agg(F.count(F.lit(1)).alias("__rows"))
+    joined = counted.join(classes.where("__texts = 1"), "__digest").select(*rows, "__rows", "__keep", "__size")
     clashes = classes.where("__texts > 1").select("__digest")
     if not clashes.isEmpty():
         clashed = keyed.join(clashes, "__digest", "left_semi")
         by_text = combine(clashed.select("__id", "__digest", "__text"), salts)
-        joined = joined.unionByName(clashed.join(by_text, ["__digest", "__text"]).select(*cols, "__keep", "__size"))
-    return joined.select(
+        counted = clashed.groupBy(*rows, "__text").agg(F.count(F.lit(1)).alias("__rows"))
+        joined = joined.unionByName(counted.join(by_text, ["__digest", "__text"]).select(*joined.columns))
+    each = joined.select(*rows, "__keep", "__size", F.explode(F.sequence(F.lit(1), F.col("__rows"))).alias("__number"))
+    return each.select(
         F.col("__id").alias(id_col),
         F.col("__keep").alias("keep_id"),
         F.col("__size").alias("group_size"),
-        F.col("__id").eqNullSafe(F.col("__keep")).alias("kept"),
-        (F.lower(F.hex("__digest")) if own else F.col("__sha")).alias("text_sha256"),
-        *(["row"] if carry else []),
+        (F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("__number") == 1)).alias("kept"),
+        F.col("__sha").alias("text_sha256"),
     )
 
 
-def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows of a class that do not stay."""
-    marked = exact_dedup(docs, id_col, text_col, carry=True)
-    return marked.where("kept").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", salts: int = SALTS, digest: Callable[[Column], Column] = sha256_of) -> DataFrame:
+    """``docs`` without the rows of a class that do not stay.
+
+    Rows are joined to their class by digest and id, so a frequent text is dealt out by
+    its rows' ids, and travel as one struct, so that no name of their columns can clash.
+    """
+    keyed = _keyed(docs, id_col, text_col, digest, F.struct(*docs.columns).alias("row"))
+    classes = written(classes_of(keyed.select("__id", "__digest", "__text"), salts), "dedup-classes")
+
+    def staying(rows: DataFrame, found: DataFrame, *by: str) -> DataFrame:
+        same = F.col("__id").eqNullSafe(F.col("__keep"))
+        for k in by:
+            same &= F.col(k) == F.col(f"{k}_of")
+        joined = rows.join(found.select("__keep", *[F.col(k).alias(f"{k}_of") for k in by]), same)
+        return joined.dropDuplicates([*by, "__id"]).select("row")
+
+    kept = staying(keyed.select("__digest", "__id", "row"), classes.where("__texts = 1"), "__digest")
+    clashes = classes.where("__texts > 1").select("__digest")
+    if not clashes.isEmpty():
+        clashed = keyed.join(clashes, "__digest", "left_semi")
+        by_text = combine(clashed.select("__id", "__digest", "__text"), salts)
+        kept = kept.unionByName(staying(clashed.select("__digest", "__text", "__id", "row"), by_text, "__digest", "__text"))
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 SQL = r"""
 SELECT doc_id,
        min(doc_id) OVER (PARTITION BY t) AS keep_id,
        count(*) OVER (PARTITION BY t) AS group_size,
-       doc_id IS NOT DISTINCT FROM min(doc_id) OVER (PARTITION BY t) AS kept,
+       row_number() OVER (PARTITION BY t ORDER BY doc_id NULLS LAST) = 1 AS kept,
        sha256(t) AS text_sha256
 FROM (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 """

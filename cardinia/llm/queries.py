@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cardinia.llm import bpe, exact_dedup, html_wrappers, jaccard_join, mixing, sharding, suffix_dedup, token_counts, toxicity, vector_search
+from cardinia.llm import bpe, exact_dedup, html_wrappers, jaccard_join, mixing, oracle, sharding, suffix_dedup, token_counts, toxicity, vector_search
 from cardinia.llm._util import table
 
 
@@ -54,4 +54,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_toxicity, op2_exact_dedup, op3_suffix_dedup, op4_sharding, op5_vector_search, op6_byte_bpe, op7_html_wrappers, op8_mixing, op9_token_counts, op10_jaccard_join)
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_exact_dedup": exact_dedup.SQL, "op5_vector_search": vector_search.SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op2_exact_dedup": exact_dedup.SQL,
+    "op3_suffix_dedup": oracle.repeated_passages(),
+    "op4_sharding": oracle.feistel_shards(),
+    "op5_vector_search": vector_search.SQL,
+    "op8_mixing": oracle.mixture(),
+    "op10_jaccard_join": oracle.jaccard_components(),
+}
