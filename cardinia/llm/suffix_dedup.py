@@ -308,14 +308,14 @@ def repeated_stretches(found: DataFrame, length: int, crowd: int) -> DataFrame:
     return out
 
 
-def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for lo, hi in sorted(spans):
-        if out and lo <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], hi))
-        else:
-            out.append((lo, hi))
-    return out
+def merged(spans: np.ndarray) -> list[tuple[int, int]]:
+    """Packed spans as (first, end), those that overlap or touch as one."""
+    spans = np.sort(spans)
+    lo, hi = spans >> 32, np.maximum.accumulate(spans & 0xFFFFFFFF)
+    new = np.concatenate([[True], lo[1:] > hi[:-1]]) if len(spans) else np.zeros(0, bool)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(spans)) - 1 if len(first) else first
+    return list(zip(lo[first].tolist(), hi[last].tolist(), strict=True))
 
 
 def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
@@ -328,11 +328,12 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def spans_of_texts(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """(c, spans): the repeated byte spans of each different text that has any; written."""
+    """(c, spans): the repeated byte spans of each different text that has any, as first byte * 2^32 + end; written."""
     texts = _texts(docs, text_col)
     found = regions(texts, frequent_grams(texts, length, gram), length, gram)
     places = found.where("c IS NOT NULL").select("k", "i", "c", "at").distinct()
-    spans = places.join(repeated_stretches(found, length, crowd), ["k", "i"]).select("c", F.struct((F.col("at") + F.col("lo")).alias("lo"), (F.col("at") + F.col("hi") + (length - 1)).alias("hi")).alias("s"))
+    first, end = F.col("at") + F.col("lo"), F.col("at") + F.col("hi") + (length - 1)
+    spans = places.join(repeated_stretches(found, length, crowd), ["k", "i"]).select("c", (F.shiftleft(first, 32) + end).alias("s"))
     return written(spans.groupBy("c").agg(F.collect_set("s").alias("spans")), "passage-spans")
 
 
@@ -356,8 +357,8 @@ def cut_texts(docs: DataFrame, spans: DataFrame, text_col: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             kept, removed, runs = [], [], []
-            for t, s in zip(b.column(1), b.column(2).to_pylist(), strict=True):
-                data, found = t.as_py(), merged([(x["lo"], x["hi"]) for x in s])
+            for t, s in zip(b.column(1), b.column(2), strict=True):
+                data, found = t.as_py(), merged(s.values.to_numpy(zero_copy_only=False))
                 kept.append(cut(data, found))
                 removed.append(len(data) - len(kept[-1]))
                 runs.append(len(found))

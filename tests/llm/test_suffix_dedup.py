@@ -47,7 +47,7 @@ def brute(texts, length):
                 spans[i].append((p, p + length))
     out = []
     for d, s in zip(data, spans, strict=True):
-        merged = suffix_dedup.merged(s)
+        merged = suffix_dedup.merged(np.array([(a << 32) + b for a, b in s], np.int64))
         kept = suffix_dedup.cut(d, merged)
         out.append((len(d), len(d) - len(kept), len(merged), hashlib.sha256(kept).hexdigest()))
     return out
