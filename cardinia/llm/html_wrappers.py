@@ -51,10 +51,15 @@ _ENDS = {"li": ("p", "li"), "dt": ("p", "dt", "dd"), "dd": ("p", "dt", "dd"), "t
 _NEVER = frozenset("nav footer aside form button select option optgroup label menu dialog head fieldset".split())
 #: Parts of class names, ids and roles that mark what is not the article.
 _MARKS = frozenset(
-    "ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs"
-    " sidebar footer cookie cookies consent gdpr notice alert popup modal newsletter subscribe signup share sharing social related recommended"
-    " comment comments commentlist respond reply replies disqus widget toolbar pagination pager copyright masthead".split()
+    "ad ads advert adverts advertisement advertising adslot adbox adunit adbanner adsense sponsor sponsored promo promotion banner"
+    " nav navbar navigation menu breadcrumb breadcrumbs sidebar rail widget widgets toolbar topbar pagination pager footer masthead copyright"
+    " cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup paywall disclaimer share sharing social related recommended"
+    " comment comments commentlist respond reply replies discussion disqus".split()
 )
+#: A header by its marks, unless these say that it is the article's own.
+_HEADER, _OWN = "header", frozenset("article post entry story content".split())
+#: Class names that speak of something else on the page, as in "no-sidebar".
+_ABOUT = re.compile(r"(?:no|without|has|with|is)[-_]", re.I)
 #: Pages on which a slot must have had one text before the text counts as the template's.
 _CONSTANT = 5
 #: Longest group that repeats.
@@ -113,7 +118,7 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
                 continue
             marks = ""
             if m[4]:
-                found = {w for a in _NAMES.findall(m[4]) for w in _PART.findall("".join(a).lower())}
+                found = {w for a in _NAMES.findall(m[4]) for c in "".join(a).lower().split() if not _ABOUT.match(c) for w in _PART.findall(c)}
                 marks = "." + ".".join(sorted(found)) if found else ""
             push(name, marks)
     if at < len(page):
@@ -129,8 +134,9 @@ def excluded(path: str) -> bool:
         name, *marks = element.split(".")
         if name in _NEVER or (name == "header" and not inside):
             return True
-        if (inside or name not in ("html", "body", "main", "article")) and not _MARKS.isdisjoint(marks):
-            return True
+        if inside or name not in ("html", "body", "main", "article"):
+            if not _MARKS.isdisjoint(marks) or (not inside and _HEADER in marks and _OWN.isdisjoint(marks)):
+                return True
         inside = inside or name in ("article", "main")
     return False
 
