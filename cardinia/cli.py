@@ -38,6 +38,9 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--exact_degree", action="store_true", help="bound-sketch-unfiltered: filter the degrees, too")
     p.add_argument("--selectivity_estimator", choices=("exact", "count-min", "count-sketch"), default="count-min")
     p.add_argument("--check_error", action="store_true", help="compare the models' sketches with exact ones")
+    p.add_argument("--pickle", help="folder that keeps the models' tables for later runs")
+    p.add_argument("--sparse", action="store_true", help="accepted for compatibility: sketches are always sparse")
+    p.add_argument("--cuda", action="store_true", help="accepted for compatibility: there is no other device than the executors")
     p.add_argument("--seed", type=int, default=1)
     return p
 
@@ -53,7 +56,7 @@ def run(spark: SparkSession, arguments: list[str] | None = None) -> None:
     engine = Engine(
         spark, dataset, sources.read_dataset(spark, a.data, dataset, a.format), "same-sign" if a.same_sign else a.method, a.depth, a.width,
         "exact" if a.exact_sketch else "model", "mean" if a.mean else a.percentile, a.seed, a.independence, a.selectivity_estimator, a.pessimistic,
-        a.k, a.rdc_threshold, a.min_cluster, a.cluster_first, "kmeans" if a.kmeans else "gmm", a.exact_degree,
+        a.k, a.rdc_threshold, a.min_cluster, a.cluster_first, "kmeans" if a.kmeans else "gmm", a.exact_degree, cache_dir=a.pickle,
     )
     results = engine.evaluate(queries)
     results.show(20, False)

@@ -13,6 +13,7 @@ from cardinia.operators import contraction, dependence, evaluation, sketches, sp
 from cardinia.plans.dataset import Dataset
 from cardinia.plans.predicates import conjunction
 from cardinia.plans.query import Query
+from cardinia.sources import tables as sources
 from cardinia.sources.scratch import materialised
 
 METHODS = ("ams", "count-sketch", "count-min", "bound-sketch", "bound-sketch-unfiltered", "same-sign")
@@ -29,7 +30,8 @@ class Engine:
     mode 'exact' sketches filtered rows; 'model' multiplies the sketches of a learnt
     model's leaves with probabilities. how: 'min', 'mean' or the quantile of the rows'
     estimates (pessimistic: the largest). Unfiltered sketches are kept as tables in the
-    shared folder and reused by every query that joins on the same keys.
+    shared folder and reused by every query that joins on the same keys; ``cache_dir``
+    keeps the tables' rows with their leaves for later engines.
     """
 
     def __init__(
@@ -53,6 +55,7 @@ class Engine:
         clusterer: str = "gmm",
         exact_degree: bool = False,
         sample_rows: int = 10_000,
+        cache_dir: str | None = None,
     ):
         if method not in METHODS:
             raise ValueError(f"method {method!r} is none of {METHODS}")
@@ -65,7 +68,7 @@ class Engine:
         self.how = 1.0 if pessimistic and not isinstance(how, str) else how
         self.family = HashFamily(seed, sign_k)
         self.learning = {"threshold": rdc_threshold, "min_cluster": min_cluster, "k": k, "how": clusterer, "cluster_first": cluster_first}
-        self.filters, self.pessimistic, self.exact_degree, self.sample_rows = selectivity, pessimistic, exact_degree, sample_rows
+        self.filters, self.pessimistic, self.exact_degree, self.sample_rows, self.cache_dir = selectivity, pessimistic, exact_degree, sample_rows, cache_dir
         self.models: dict[str, spn.TableModel] = {}
         self.kept: dict[tuple, DataFrame] = {}
         self.kinds = {t: {c: s.kind for c, s in x.columns.items()} for t, x in dataset.tables.items()}
@@ -75,7 +78,10 @@ class Engine:
         if table not in self.models:
             spec, df = self.dataset.tables[table], self.tables[table]
             tree, features = spn.learn(dependence.sample_rows(df, list(spec.columns), self.sample_rows), spec, spec.keys, **self.learning)
-            self.models[table] = spn.TableModel.build(df, spec, tree, features, self.filters, self.family, self.depth, self.width, self.pessimistic)
+            rows = None
+            if self.cache_dir:  # learning is deterministic, so the leaves of equal tables are, too
+                rows = sources.cached(self.spark, f"{self.cache_dir}/{table}", lambda: spn.assigned(df.select(*tree.columns), tree, features), df.count())
+            self.models[table] = spn.TableModel.build(df, spec, tree, features, self.filters, self.family, self.depth, self.width, self.pessimistic, rows)
         return self.models[table]
 
     def relation(self, query: Query, alias: str, kind: str, filtered: bool = True, exact: bool | None = None) -> DataFrame:

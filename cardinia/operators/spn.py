@@ -193,12 +193,11 @@ class TableModel:
     pessimistic: bool = False
 
     @staticmethod
-    def build(df: DataFrame, table: Table, tree: Node, features=None, method: str = "exact", family: HashFamily | None = None, depth: int = 5, width: int = 1000, pessimistic: bool = False, keep: bool = True) -> TableModel:
-        """``method``: how filter columns are estimated: 'exact', 'count-min' or 'count-sketch'."""
+    def build(df: DataFrame, table: Table, tree: Node, features=None, method: str = "exact", family: HashFamily | None = None, depth: int = 5, width: int = 1000, pessimistic: bool = False, rows: DataFrame | None = None) -> TableModel:
+        """``method``: how filter columns are estimated: 'exact', 'count-min' or 'count-sketch'; ``rows``: the table with its leaves, if it is kept somewhere."""
         tree.numbered() if tree.number < 0 else None
-        rows = assigned(df.select(*tree.columns), tree, features)
-        if keep:
-            rows = materialised(rows, "model")
+        if rows is None:
+            rows = materialised(assigned(df.select(*tree.columns), tree, features), "model")
         leaves = [c for c in rows.columns if c.startswith("leaf_")]
         counts = rows.select(F.explode(F.array(*[F.col(f"`{c}`") for c in leaves])).alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
         sizes = {r.leaf: r.n for r in counts.collect()}  # one row for each leaf of the tree
