@@ -10,14 +10,15 @@ are joined. A class with n shingles links to another if they share enough of the
 2. Each class offers its first n - ceil(4 n / 5) + 1 shingles: two linked classes share
    one of them, which for the shorter is among its first n - ceil(8 n / 9) + 1. Classes
    that offer the same shingle meet in a bucket; buckets of one class go.
-3. Pairs in a bucket pass the length filter (5 n1 >= 4 n2) and the positional filter
-   (what follows the common shingle must suffice on both sides). Buckets of up to
+3. Pairs in a bucket pass the length filter (5 n1 >= 4 n2), the positional filter (what
+   follows the common shingle must suffice on both sides) and the suffix filter (the sets'
+   difference is at least the number of hash ranges of which one holds an odd and the
+   other an even number of elements). Buckets of up to
    ``small`` offers give their pairs; in larger ones each class is first paired with
    two pivots, and only classes that the links so found leave in different components
    are paired then. So a group of m near copies costs about 2 m verifications, and no
    link between components is lost.
-4. Each pair is verified once: the suffix filter bounds the difference of the sets
-   range by range of their hashes, then the sets are intersected.
+4. Each pair is verified once, by intersecting the sets.
 """
 
 from __future__ import annotations
@@ -41,21 +42,35 @@ SKETCH = 22
 SEGMENT = 1 << 16
 #: Offers up to which a bucket gives all its pairs at once.
 SMALL = 32
+#: Offers of a shingle that the sketch counts this often, or CROWDED times its mean counter, are dealt out by salts.
+FREQUENT, CROWDED, SALTS = 4096, 8, 64
+#: Offers of a large bucket that meet in one task when its late pairs are made.
+DEALT = 2048
 #: Counters that a task gathers before it adds them up.
 _GATHERED = 1 << 21
 
 
+#: 256 bits as four integers.
+SIGNATURE = ["s0", "s1", "s2", "s3"]
+
+
+def signature(h: np.ndarray) -> np.ndarray:
+    """Whether the number of hashes in each of 256 ranges is odd. Each element that two sets do not share changes one bit at most."""
+    odd = np.bincount(_top(h, 8), minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _top(h: np.ndarray, bits: int) -> np.ndarray:
     return (h >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def document_table(docs: DataFrame, id_col: str, text_col: str, width: int = WIDTH, bits: int = SKETCH) -> DataFrame:
-    """One row for each document (id, c, n), and the tasks' shingle counts (seg, counts); written."""
+    """One row for each document (id, c, n, signature), and the tasks' shingle counts (seg, counts); written."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts, waiting, held = Shingler(width), None, [], 0
-        names = ["id", "c", "n", "seg", "counts"]
+        names = ["id", "c", "n", *SIGNATURE, "seg", "counts"]
 
         def add() -> np.ndarray:
             more = np.bincount(_top(np.concatenate(waiting), bits), minlength=1 << bits).astype(np.int32)
@@ -63,19 +78,20 @@ def document_table(docs: DataFrame, id_col: str, text_col: str, width: int = WID
             return more if counts is None else counts + more
 
         for b in batches:
-            keys, sizes = [], []
+            keys, sizes, signs = [], [], []
             for t in b.column(1):
                 words = words_of(t.as_py())
                 h = shingler.hashes(words)
                 keys.append(class_key(words))
                 sizes.append(len(h))
+                signs.append(signature(h))
                 if len(h):
                     waiting.append(h)
                     held += len(h)
                 if held > _GATHERED:
                     counts, held = add(), 0
             k = b.num_rows
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.int64()), pa.array(sizes, pa.int64()), *map(pa.array, np.array(signs, np.int64).reshape(k, 4).T), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         if waiting:
             counts = add()
         if counts is not None:
@@ -83,9 +99,9 @@ def document_table(docs: DataFrame, id_col: str, text_col: str, width: int = WID
             segments = counts.reshape(-1, min(SEGMENT, 1 << bits))
             full = [k for k in range(len(segments)) if segments[k].any()]
             packed = [zlib.compress(segments[k].tobytes(), 1) for k in full]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(full), id_kind), pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.array(full, pa.int32()), pa.array(packed, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(full), id_kind), *[pa.nulls(len(full), pa.int64())] * 6, pa.array(full, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    return written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, c bigint, n bigint, seg int, counts binary"), "near-documents")
+    return written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, c bigint, n bigint, {', '.join(f'{x} bigint' for x in SIGNATURE)}, seg int, counts binary"), "near-documents")
 
 
 def summed_counts(found: DataFrame, bits: int = SKETCH) -> np.ndarray:
@@ -112,8 +128,9 @@ def prefix_length(n: int) -> int:
     return n - -(-4 * n // 5) + 1
 
 
-def offers(docs: DataFrame, text_col: str, counts: np.ndarray, width: int = WIDTH, bits: int = SKETCH) -> DataFrame:
-    """(h, c, v): each class's rare-first prefix; v packs n and the shingle's position."""
+def offers(docs: DataFrame, text_col: str, counts: np.ndarray, width: int = WIDTH, bits: int = SKETCH, frequent: int = FREQUENT) -> DataFrame:
+    """(h, c, v): each class's rare-first prefix; v packs n, whether the shingle may be frequent, and its position."""
+    many = max(frequent, CROWDED * float(counts.mean()))
     sent = docs.sparkSession.sparkContext.broadcast(zlib.compress(counts.tobytes(), 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,10 +152,10 @@ def offers(docs: DataFrame, text_col: str, counts: np.ndarray, width: int = WIDT
                     limit = np.partition(rare, p - 1)[p - 1]
                     some = np.flatnonzero(rare <= limit)
                     h, rare = h[some], rare[some]
-                first = h[np.lexsort((h, rare))[:p]]
-                hs.append(first)
-                cs.append(np.full(len(first), c, np.int64))
-                vs.append((np.int64(n) << 32) + np.arange(len(first), dtype=np.int64))
+                order = np.lexsort((h, rare))[:p]
+                hs.append(h[order])
+                cs.append(np.full(p, c, np.int64))
+                vs.append((np.int64(n) << 32) + ((rare[order] >= many).astype(np.int64) << 31) + np.arange(p, dtype=np.int64))
             if hs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(cs)), pa.array(np.concatenate(vs))], names=["h", "c", "v"])
 
@@ -149,57 +166,73 @@ def _ceil_div(x: Column, d: int) -> Column:
     return F.floor((x + (d - 1)) / F.lit(d))
 
 
-def buckets(offered: DataFrame) -> DataFrame:
-    """Offers of shingles that two classes or more offer, one of them as the shorter; written.
+def buckets(offered: DataFrame, signatures: DataFrame, salts: int = SALTS) -> DataFrame:
+    """Offers of shingles that two classes or more offer, one of them as the shorter, with the classes' signatures; written.
 
-    z: offers in the bucket; p, q: two pivots, picked by a hash, as (c, n, pos).
+    z: offers in the bucket. Offers of shingles that may be frequent meet in ``salts``
+    groups first, whose summaries, a row each, make up the bucket's.
     """
-    m = offered.select("h", "c", F.shiftright("v", 32).alias("n"), F.col("v").bitwiseAND(F.lit(0xFFFFFFFF)).alias("pos"))
+    m = offered.select("h", "c", F.shiftright("v", 32).alias("n"), F.col("v").bitwiseAND(F.lit(0x7FFFFFFF)).alias("pos"), (F.shiftright("v", 31).bitwiseAND(F.lit(1)) == 1).alias("hot"))
     m = m.withColumn("idx", F.col("pos") <= F.col("n") - _ceil_div(F.col("n") * 8, 9))
-    w = Window.partitionBy("h")
-    me = F.struct(F.xxhash64("c", "h").alias("r"), "c", "n", "pos")
-    m = m.withColumns({"lo": F.min("c").over(w), "hi": F.max("c").over(w), "any": F.max("idx").over(w), "z": F.count(F.lit(1)).over(w)}).where("lo < hi AND any")
-    m = m.withColumns({"p": F.min(me).over(w), "q": F.max(me).over(w)})
-    return written(m.drop("lo", "hi", "any"), "near-buckets")
+    m = m.withColumn("salt", F.when(F.col("hot"), F.pmod("c", F.lit(salts))).otherwise(F.lit(0)))
+    w = Window.partitionBy("h", "salt")
+    m = m.withColumns({"lo": F.min("c").over(w), "hi": F.max("c").over(w), "any": F.max("idx").over(w), "z": F.count(F.lit(1)).over(w)}).where("hot OR lo < hi AND any")
+    found = written(m.join(signatures, "c"), "near-buckets")
+    columns = ["h", "c", "n", "pos", "idx", "z", *SIGNATURE]
+    plain, hot = found.where("NOT hot").select(*columns), found.where("hot")
+    if hot.isEmpty():
+        return plain
+    whole = hot.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("any").alias("any"), F.count(F.lit(1)).alias("z")).where("lo < hi AND any")
+    return plain.unionByName(written(hot.drop("z").join(written(whole.select("h", "z"), "near-frequent"), "h").select(*columns), "near-buckets"))
+
 
+def _offer(*more: str) -> Column:
+    return F.struct("c", "n", "pos", "idx", *SIGNATURE, *more)
 
-def _possible(a: dict[str, Column], b: dict[str, Column]) -> Column:
-    """Length and positional filters, for two offers of one shingle."""
+
+def _possible(x: str, y: str) -> Column:
+    """Length, positional and suffix filters, for two offers of one shingle by different classes."""
+    a, b = ({k: F.col(f"{p}.{k}") for k in ("c", "n", "pos", *SIGNATURE)} for p in (x, y))
     need = _ceil_div((a["n"] + b["n"]) * 4, 9)
     lengths = (a["n"] * 5 >= b["n"] * 4) & (b["n"] * 5 >= a["n"] * 4)
-    return lengths & (a["n"] - a["pos"] >= need) & (b["n"] - b["pos"] >= need)
+    places = (a["n"] - a["pos"] >= need) & (b["n"] - b["pos"] >= need)
+    apart = sum((F.bit_count(a[s].bitwiseXOR(b[s])) for s in SIGNATURE[1:]), F.bit_count(a["s0"].bitwiseXOR(b["s0"])))
+    return (a["c"] != b["c"]) & lengths & places & (apart <= a["n"] + b["n"] - need * 2)
 
 
-def _fields(prefix: str) -> dict[str, Column]:
-    return {k: F.col(f"{prefix}.{k}") for k in ("c", "n", "pos")}
+def _once(x: str, y: str) -> Column:
+    """One of the two orders of a pair: the shorter class first, and by its index prefix."""
+    a, b = F.struct(f"{x}.n", f"{x}.c"), F.struct(f"{y}.n", f"{y}.c")
+    return F.col(f"{x}.idx") & (a < b)
 
 
-def _ordered(df: DataFrame, a: Column, b: Column) -> DataFrame:
-    return df.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+def _ordered(df: DataFrame) -> DataFrame:
+    return df.select(F.least("x.c", "y.c").alias("a"), F.greatest("x.c", "y.c").alias("b"))
 
 
 def first_pairs(found: DataFrame, small: int = SMALL) -> DataFrame:
-    """All possible pairs of small buckets, and those with the pivots of large ones."""
-    me = F.struct("c", "n", "pos", "idx")
-    few = found.where(F.col("z") <= small).select("h", me.alias("x"))
-    other = few.select("h", F.col("x").alias("y"))
-    x, y = _fields("x"), _fields("y")
-    once = F.col("x.idx") & ((x["n"] < y["n"]) | ((x["n"] == y["n"]) & (x["c"] < y["c"])))
-    pairs = _ordered(few.join(other, "h").where(once & _possible(x, y) & (x["c"] != y["c"])), x["c"], y["c"])
-    many = found.where(F.col("z") > small).select(me.alias("x"), F.explode(F.array("p", "q")).alias("y"))
-    starred = _ordered(many.where(_possible(x, y) & (x["c"] != y["c"])), x["c"], y["c"])
-    return pairs.unionByName(starred).distinct()
-
-
-def late_pairs(found: DataFrame, labels: DataFrame, small: int = SMALL) -> DataFrame:
+    """All possible pairs of small buckets, and those with two pivots, picked by a hash, of large ones."""
+    few = found.where(F.col("z") <= small).select("h", _offer().alias("x"))
+    pairs = few.join(few.select("h", F.col("x").alias("y")), "h").where(_once("x", "y") & _possible("x", "y"))
+    many = found.where(F.col("z") > small)
+    picked = F.struct(F.xxhash64("c", "h").alias("r"), _offer().alias("y"))
+    pivots = written(many.groupBy("h").agg(F.array(F.min(picked).getField("y"), F.max(picked).getField("y")).alias("ys")), "near-pivots")
+    starred = many.select("h", _offer().alias("x")).join(pivots, "h").select("x", F.explode("ys").alias("y")).where(_possible("x", "y"))
+    return _ordered(pairs).unionByName(_ordered(starred)).distinct()
+
+
+def late_pairs(found: DataFrame, labels: DataFrame, small: int = SMALL, dealt: int = DEALT) -> DataFrame:
     """Possible pairs of large buckets whose classes are still in different components."""
-    many = found.where(F.col("z") > small).select("h", "c", "n", "pos", "idx")
+    many = found.where(F.col("z") > small)
     many = many.join(labels.select(F.col("v").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     open_ = many.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
-    me = many.join(open_, "h").select("h", F.struct("c", "n", "pos", "idx", "label").alias("x"))
-    x, y = _fields("x"), _fields("y")
-    once = F.col("x.idx") & ((x["n"] < y["n"]) | ((x["n"] == y["n"]) & (x["c"] < y["c"]))) & (F.col("x.label") != F.col("y.label"))
-    return _ordered(me.join(me.select("h", F.col("x").alias("y")), "h").where(once & _possible(x, y)), x["c"], y["c"]).distinct()
+    # One side of a very large bucket is dealt out, the other copied to each part.
+    parts = F.greatest(F.lit(1), F.ceil(F.col("z") / dealt)).cast("int")
+    me = written(many.join(open_, "h").select("h", parts.alias("parts"), _offer("label").alias("x")), "near-open")
+    left = me.select("h", F.pmod(F.xxhash64("x.c"), F.col("parts")).cast("int").alias("part"), "x")
+    right = me.select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("x").alias("y"))
+    across = F.col("x.label") != F.col("y.label")
+    return _ordered(left.join(right, ["h", "part"]).where(across & _once("x", "y") & _possible("x", "y"))).distinct()
 
 
 def shingle_sets(docs: DataFrame, text_col: str, keys: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -226,19 +259,9 @@ def shingle_sets(docs: DataFrame, text_col: str, keys: DataFrame, width: int = W
     return written(found.dropDuplicates(["c"]), "near-sets")
 
 
-def far_apart(x: np.ndarray, y: np.ndarray, allowed: int, depth: int = 4) -> bool:
-    """Suffix filter: whether sets of sorted hashes differ in more than ``allowed`` elements, by the sizes of their parts in 2 ** depth ranges."""
-    cuts = (np.arange(1, 1 << depth, dtype=np.uint64)) << np.uint64(64 - depth)
-    px = np.diff(np.concatenate([[0], np.searchsorted(x, cuts), [len(x)]]))
-    py = np.diff(np.concatenate([[0], np.searchsorted(y, cuts), [len(y)]]))
-    return int(np.abs(px - py).sum()) > allowed
-
-
 def linked(x: np.ndarray, y: np.ndarray) -> bool:
     need = -(-4 * (len(x) + len(y)) // 9)
-    if min(len(x), len(y)) < need or far_apart(x, y, len(x) + len(y) - 2 * need):
-        return False
-    return len(np.intersect1d(x, y, assume_unique=True)) >= need
+    return min(len(x), len(y)) >= need and len(np.intersect1d(x, y, assume_unique=True)) >= need
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -253,7 +276,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return written(both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint"), "near-links")
 
 
-def links_of(docs: DataFrame, found: DataFrame, text_col: str, width: int = WIDTH, small: int = SMALL) -> DataFrame | None:
+def links_of(docs: DataFrame, found: DataFrame, text_col: str, width: int = WIDTH, small: int = SMALL, dealt: int = DEALT) -> DataFrame | None:
     """(v, label): the components of the classes that have links; None without any."""
 
     def confirm(pairs: DataFrame) -> DataFrame:
@@ -265,14 +288,14 @@ def links_of(docs: DataFrame, found: DataFrame, text_col: str, width: int = WIDT
         return None
     links = confirm(pairs)
     labels = components(links)
-    late = written(late_pairs(found, labels, small).join(pairs, ["a", "b"], "left_anti"), "near-pairs")
+    late = written(late_pairs(found, labels, small, dealt).join(pairs, ["a", "b"], "left_anti"), "near-pairs")
     if not late.isEmpty():
         links = links.unionByName(confirm(late))
         labels = components(links)
     return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, small: int = SMALL, bits: int = SKETCH) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, small: int = SMALL, bits: int = SKETCH, frequent: int = FREQUENT, dealt: int = DEALT) -> DataFrame:
     """id, n_shingles, component_id (the smallest id reachable by links) for each row.
 
     Words are lower-cased in A-Z and cut at ASCII white space. A text of fewer than
@@ -284,13 +307,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     table = document_table(docs, id_col, text_col, width, bits)
     rows = table.where("seg IS NULL").select("id", "c", "n")
-    found = buckets(offers(docs, text_col, summed_counts(table, bits), width, bits))
-    labels = links_of(docs, found, text_col, width, small)
+    signatures = table.where("seg IS NULL").groupBy("c").agg(*[F.min(x).alias(x) for x in SIGNATURE])
+    found = buckets(offers(docs, text_col, summed_counts(table, bits), width, bits, frequent), signatures)
+    labels = links_of(docs, found, text_col, width, small, dealt)
     if labels is None:
         marked = rows.withColumn("label", F.col("c"))
     else:
         marked = rows.join(labels.withColumnRenamed("v", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    lowest = marked.where("n > 0").groupBy("label").agg(F.min("id").alias("component"))
+    # Written, so that the join below can split a label with many rows.
+    lowest = written(marked.where("n > 0").groupBy("label").agg(F.min("id").alias("component")), "near-lowest")
     joined = marked.join(lowest, "label", "left")
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
 

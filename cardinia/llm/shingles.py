@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
+import xxhash
 
 WIDTH = 5
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
-_SPACE = b" \t\n\x0b\x0c\r"
-#: Odd multipliers that tell a word's place in its shingle.
-_PLACES = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63]
-_REMEMBERED = 300_000
+#: An odd number, whose powers tell a word's place in its shingle.
+_BASE = 0x9E3779B97F4A7C15
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -33,32 +33,27 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+@lru_cache(maxsize=64)
+def _place(i: int) -> int:
+    return pow(_BASE, i + 1, 1 << 64)
+
+
 class Shingler:
-    """Hashes shingles; remembers the hashes of common words."""
+    """Hashes the shingles of ``width`` words."""
 
     def __init__(self, width: int = WIDTH):
-        self.width, self.seen = width, {}
+        self.width = width
 
     def hashes(self, words: list[bytes]) -> np.ndarray:
         """Distinct shingle hashes in rising order (uint64); no words: none; few words: one."""
         if not words:
             return np.zeros(0, np.uint64)
-        seen = self.seen
-        if len(seen) > _REMEMBERED:
-            seen.clear()
-        try:
-            ids = list(map(seen.__getitem__, words))
-        except KeyError:
-            for w in words:
-                if w not in seen:
-                    seen[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
-            ids = list(map(seen.__getitem__, words))
-        h = np.array(ids, np.uint64)
-        k = self.width
-        if len(h) < k:
-            return np.unique(_mixed(sum((h[i : i + 1] * np.uint64(_PLACES[i]) for i in range(len(h))), np.full(1, len(h), np.uint64))))
-        total = np.zeros(len(h) - k + 1, np.uint64)
+        h = np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), np.uint64)
+        # Word hashes times the odd number of their place: equal sums of different words are as rare as equal hashes.
+        k = min(self.width, len(h))
+        n = len(h) - k + 1
+        total = np.full(n, np.uint64(len(h) if len(h) < self.width else 0))
         for i in range(k):
-            total += _mixed(h[i : len(h) - k + 1 + i] + np.uint64(_PLACES[i % 5]))
-            total *= np.uint64(_PLACES[(i + 1) % 5])
-        return np.unique(_mixed(total))
+            total += h[i : i + n] * np.uint64(_place(i))
+        out = np.sort(_mixed(total))
+        return out[np.concatenate([[True], out[1:] != out[:-1]])]

@@ -338,7 +338,7 @@ def spans_of_texts(docs: DataFrame, text_col: str = "text", length: int = LENGTH
 
 
 def cut_texts(docs: DataFrame, spans: DataFrame, text_col: str) -> DataFrame:
-    """(c, kept, n_removed, n_spans) of each different text that has repeated spans; written once per text."""
+    """(c, kept, n_removed, n_spans) of each different text that has repeated spans, once for each task that read it."""
     bits, raw = bit_filter(spans.select("c"))
     sent = docs.sparkSession.sparkContext.broadcast(raw)
 
@@ -377,7 +377,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     what is left need not be UTF-8.
     """
     cuts = cut_texts(docs, spans_of_texts(docs, text_col, length, gram, crowd), text_col)
-    digest = cuts.select("c", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")).dropDuplicates(["c"])
+    # Written, so that the join below can split a text with many rows.
+    digest = written(cuts.select("c", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")).dropDuplicates(["c"]), "passage-cuts")
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("c"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
     none = F.lit(0).cast("long")

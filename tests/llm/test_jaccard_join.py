@@ -60,11 +60,12 @@ def near_copies(seed, groups=6, members=9, words=60):
     return out
 
 
-@pytest.mark.parametrize(("seed", "small"), [(1, 32), (2, 2), (3, 0)])
-def test_against_brute_force(spark, seed, small):
-    """small 0 and 2 put (nearly) all buckets through pivots and late pairs."""
+@pytest.mark.parametrize(("seed", "how"), [(1, {}), (2, {"small": 2}), (3, {"small": 0, "dealt": 3}), (4, {"frequent": 0}), (5, {"frequent": 3, "small": 0, "dealt": 2})])
+def test_against_brute_force(spark, monkeypatch, seed, how):
+    """small 0 and 2 put (nearly) all buckets through pivots and late pairs, dealt cuts these, frequent salts the offers."""
+    monkeypatch.setattr(jaccard_join, "CROWDED", 0)
     rows = awkward(near_copies(seed))
-    assert result(frame(spark, rows), small=small) == brute(rows)
+    assert result(frame(spark, rows), **how) == brute(rows)
 
 
 def test_chains_through_dropped_pivots(spark):
@@ -97,6 +98,8 @@ def test_suffix_filter_never_drops_a_link(a, b):
     a |= set(list(b)[: len(b) * 9 // 10])
     x, y = (np.array(sorted(s), np.uint64) for s in (a, b))
     assert jaccard_join.linked(x, y) == (100 * len(a & b) >= 80 * len(a | b))
+    apart = sum(int(p ^ q).bit_count() if p ^ q >= 0 else int((p ^ q) % 2**64).bit_count() for p, q in zip(jaccard_join.signature(x).tolist(), jaccard_join.signature(y).tolist(), strict=True))
+    assert apart <= len(a ^ b)
 
 
 @given(st.integers(1, 300), st.integers(1, 300))
