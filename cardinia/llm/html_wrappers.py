@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardinia.llm._util import written
+from cardinia.llm._util import lean, written
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -335,5 +335,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 texts.append(main_text(page.as_py(), known[host]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
-    out = (rows if found is None else rows.join(found, "host").select("id", "url", "html", "host", "wrapper")).mapInArrow(run, schema)
+    out = (rows if found is None else rows.join(found, "host").select("id", "url", "html", "host", "wrapper")).mapInArrow(lean(run), schema)
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cardinia.llm._util import written
+from cardinia.llm._util import lean, written
 from cardinia.llm.bit_filter import bit_filter, holds
 from cardinia.llm.components import components
 from cardinia.llm.shingles import WIDTH, Shingler, class_key, words_of
@@ -101,7 +101,7 @@ def document_table(docs: DataFrame, id_col: str, text_col: str, width: int = WID
             packed = [zlib.compress(segments[k].tobytes(), 1) for k in full]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(full), id_kind), *[pa.nulls(len(full), pa.int64())] * 6, pa.array(full, pa.int32()), pa.array(packed, pa.binary())], names=names)
 
-    return written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, c bigint, n bigint, {', '.join(f'{x} bigint' for x in SIGNATURE)}, seg int, counts binary"), "near-documents")
+    return written(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"id {kind}, c bigint, n bigint, {', '.join(f'{x} bigint' for x in SIGNATURE)}, seg int, counts binary"), "near-documents")
 
 
 def summed_counts(found: DataFrame, bits: int = SKETCH) -> np.ndarray:
@@ -159,7 +159,7 @@ def offers(docs: DataFrame, text_col: str, counts: np.ndarray, width: int = WIDT
             if hs:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(hs).view(np.int64)), pa.array(np.concatenate(cs)), pa.array(np.concatenate(vs))], names=["h", "c", "v"])
 
-    return docs.select(F.col(text_col).alias("text")).mapInArrow(run, "h bigint, c bigint, v bigint")
+    return docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "h bigint, c bigint, v bigint")
 
 
 def _ceil_div(x: Column, d: int) -> Column:
@@ -255,7 +255,7 @@ def shingle_sets(docs: DataFrame, text_col: str, keys: DataFrame, width: int = W
             if cs:
                 yield pa.RecordBatch.from_arrays([pa.array(cs, pa.int64()), pa.array(sets, pa.binary())], names=["c", "s"])
 
-    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "c bigint, s binary")
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(lean(run), "c bigint, s binary")
     return written(found.dropDuplicates(["c"]), "near-sets")
 
 
@@ -273,7 +273,7 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield b.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     both = pairs.join(sets.select(F.col("c").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("c").alias("b"), F.col("s").alias("sb")), "b")
-    return written(both.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint"), "near-links")
+    return written(both.select("a", "b", "sa", "sb").mapInArrow(lean(run), "a bigint, b bigint"), "near-links")
 
 
 def links_of(docs: DataFrame, found: DataFrame, text_col: str, width: int = WIDTH, small: int = SMALL, dealt: int = DEALT) -> DataFrame | None:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardinia.llm._util import text_or_empty, written
+from cardinia.llm._util import lean, text_or_empty, written
 from cardinia.llm.bit_filter import bit_filter, holds
 from cardinia.llm.suffix_array import Texts
 
@@ -116,7 +116,7 @@ def frequent_grams(texts: DataFrame, length: int, gram: int) -> DataFrame:
                 g, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], names=["g", "n"])
 
-    counted = texts.where(F.octet_length("text") >= length).mapInArrow(run, "g bigint, n bigint")
+    counted = texts.where(F.octet_length("text") >= length).mapInArrow(lean(run), "g bigint, n bigint")
     return written(counted.groupBy("g").agg(F.sum("n").alias("n")).where("n > 1").select("g"), "passage-grams")
 
 
@@ -174,7 +174,7 @@ def regions(texts: DataFrame, grams: DataFrame, length: int, gram: int) -> DataF
         if held:
             yield release()
 
-    found = texts.where(F.octet_length("text") >= length).mapInArrow(run, "k bigint, i bigint, c bigint, at bigint, o bigint, m bigint, n bigint, x binary")
+    found = texts.where(F.octet_length("text") >= length).mapInArrow(lean(run), "k bigint, i bigint, c bigint, at bigint, o bigint, m bigint, n bigint, x binary")
     return written(found, "passage-regions")
 
 
@@ -212,7 +212,7 @@ def split(pieces: DataFrame, raw: bytes, bits: int, length: int, width: int) ->
                 yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary() if name == "x" else pa.int64()) for name, v in zip(names, columns, strict=True)], names=names)
 
     schema = "k bigint, i bigint, o bigint, m bigint, n bigint, x binary, k0 bigint, i0 bigint, lo bigint"
-    return written(pieces.select("k", "i", "o", "m", "n", "x").mapInArrow(run, schema), "passage-pieces")
+    return written(pieces.select("k", "i", "o", "m", "n", "x").mapInArrow(lean(run), schema), "passage-pieces")
 
 
 def repeats(pieces: DataFrame, length: int) -> DataFrame:
@@ -268,7 +268,7 @@ def repeats(pieces: DataFrame, length: int) -> DataFrame:
                 yield done
 
     grouped = pieces.select("k", "i", "m", "n", "x").repartition("k").sortWithinPartitions("k")
-    return grouped.mapInArrow(run, "k bigint, i bigint, lo bigint, hi bigint")
+    return grouped.mapInArrow(lean(run), "k bigint, i bigint, lo bigint, hi bigint")
 
 
 def _not_in(pieces: DataFrame, filters: tuple[int, bytes] | None) -> DataFrame:
@@ -282,7 +282,7 @@ def _not_in(pieces: DataFrame, filters: tuple[int, bytes] | None) -> DataFrame:
         for b in batches:
             yield b.filter(pa.array(~holds(sent.value, bits, b.column(0).to_numpy(zero_copy_only=False))))
 
-    return pieces.mapInArrow(run, pieces.schema)
+    return pieces.mapInArrow(lean(run), pieces.schema)
 
 
 def repeated_stretches(found: DataFrame, length: int, crowd: int) -> DataFrame:
@@ -365,7 +365,7 @@ def cut_texts(docs: DataFrame, spans: DataFrame, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], names=["c", "kept", "n_removed", "n_spans"])
 
     texts = _texts(docs, text_col).mapInArrow(once, "c bigint, text binary")
-    return texts.join(spans, "c").select("c", "text", "spans").mapInArrow(run, "c bigint, kept binary, n_removed bigint, n_spans bigint")
+    return texts.join(spans, "c").select("c", "text", "spans").mapInArrow(lean(run), "c bigint, kept binary, n_removed bigint, n_spans bigint")
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:

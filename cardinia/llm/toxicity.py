@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardinia.llm._util import lean
+
 BITS = 20
 FACTORS = 4
 #: The bound on the labelled rows that the model is fitted on.
@@ -38,7 +40,7 @@ LEAST_Z = 4.5
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose buckets a worker remembers before it starts anew.
-_REMEMBERED = 300_000
+_REMEMBERED = 100_000
 
 
 def buckets(word: str, bits: int = BITS) -> tuple[int, ...]:
@@ -197,7 +199,7 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     joined = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(few), "__id")
     # Repeated ids in the documents could bring more rows than asked for: the bound holds for them, too.
-    got = joined.select("__y", "__text").mapInArrow(hashed, "y int, ids binary").orderBy(F.xxhash64("ids"), "y").limit(rows).toPandas()
+    got = joined.select("__y", "__text").mapInArrow(lean(hashed), "y int, ids binary").orderBy(F.xxhash64("ids"), "y").limit(rows).toPandas()
     return [unpacked(x) for x in got["ids"]], got["y"].to_numpy(float)
 
 
@@ -213,7 +215,7 @@ def score_rows(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_
             scores = [fm.probability(fm.raw(terms.of(t.as_py()))) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(scores, pa.float64())], names=["id", "score"])
 
-    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, score double")
+    scored = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(lean(run), f"id {kind}, score double")
     return scored.select(F.col("id").alias(id_col), held_out(F.col("id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
@@ -237,4 +239,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_
         for b in batches:
             yield b.filter(pa.array([fm.probability(fm.raw(terms.of(t.as_py()))) < threshold for t in b.column(at)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
