@@ -10,7 +10,8 @@ only together (an insult and the group it is aimed at).
 
 The model is fitted on a bounded sample of the labelled rows (``sample_rows``, in the
 order of a hash of the id), by full-batch gradient steps on the buckets that ``least_docs``
-documents of the sample or more hold and that tell its classes apart; all rows are scored on their whole texts.
+documents of the sample or more hold and that tell its classes apart, alone or in pairs with
+others; all rows are scored on their whole texts.
 The model has a fixed size (``terms`` buckets), so it can be sent to every task.
 """
 
@@ -37,6 +38,10 @@ TERMS = 30_000
 LEAST_DOCS = 3
 #: Standard deviations by which a bucket's toxic documents must differ from chance.
 LEAST_Z = 4.5
+#: Documents' worth of unexplained labels, and its standard deviations, from which two buckets count as a pair.
+LEAST_PAIR, LEAST_PAIR_Z = 5, 8.0
+#: Buckets whose pairs are counted at once.
+_BLOCK = 512
 THRESHOLD = 0.7
 _WORD = re.compile(r"[^\W\d_]+")
 #: Words whose buckets a worker remembers before it starts anew.
@@ -95,7 +100,7 @@ class FactorizationMachine:
 
 
 def fit(docs: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, terms: int = TERMS, least_docs: int = LEAST_DOCS, least_z: float = LEAST_Z, steps: int = 400, l1: float = 1e-6, l2: float = 1e-5) -> FactorizationMachine:
-    """Adam on the whole sample, with an l1 penalty on the linear weights and an l2 one on the factors. ``docs``: the distinct buckets of each document.
+    """The machine on the buckets that tell the classes apart alone, and on those that do in pairs. ``docs``: the distinct buckets of each document.
 
     Without labelled rows, or with one class alone, the model is its (smoothed) rate.
     """
@@ -113,16 +118,72 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
             toxic[d] += 1
     # Of the buckets with enough documents, those whose share of toxic ones is least like the whole's.
     odd = np.abs(toxic - total * rate) / np.sqrt(total * rate * (1 - rate) + 1e-9)
-    kept = np.flatnonzero((total >= least_docs) & (odd >= least_z))
+    usual = total >= least_docs
+    kept = np.flatnonzero(usual & (odd >= least_z))
     kept = np.sort(kept[np.argsort(-odd[kept], kind="stable")[:terms]])
-    if not len(kept):
-        return none
+    if least_z > 0 and len(kept) < terms:
+        # What these cannot explain alone shows which others matter in pairs.
+        alone = _descend(none, kept, docs, y, steps // 2, l1, l2, False)[1] if len(kept) else np.full(n, rate)
+        kept = np.union1d(kept, paired(docs, y, alone, np.flatnonzero(usual), kept, bits, terms))
+    return _descend(none, kept, docs, y, steps, l1, l2, True)[0] if len(kept) else none
+
+
+def _places(docs: list[np.ndarray], kept: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row and place among ``kept`` of each kept bucket of each document, by rows."""
     at = np.full(1 << bits, -1, np.int32)
     at[kept] = np.arange(len(kept))
     found = [at[d] for d in docs]
     found = [c[c >= 0] for c in found]
-    col = np.concatenate(found)
-    row = np.repeat(np.arange(n), [len(c) for c in found])
+    return np.repeat(np.arange(len(docs), dtype=np.int32), [len(c) for c in found]), np.concatenate(found)
+
+
+def paired(docs: list[np.ndarray], y: np.ndarray, p: np.ndarray, usual: np.ndarray, kept: np.ndarray, bits: int, terms: int = TERMS) -> np.ndarray:
+    """Buckets, not yet ``kept``, of the pairs that the probabilities ``p`` leave most unexplained.
+
+    A pair's weight has the gradient sum (y - p) over the documents with both, of variance
+    sum p (1 - p): the score test of the interaction. A bucket whose documents' errors add
+    up to less than LEAST_PAIR has no pair that reaches it, so it need not be looked at.
+    """
+    error, spread = (y - p).astype(np.float32), (p * (1 - p)).astype(np.float32)
+    mass = np.zeros(1 << bits)
+    for d, e in zip(docs, np.abs(error), strict=True):
+        mass[d] += e
+    some = usual[mass[usual] >= LEAST_PAIR]
+    if not len(some):
+        return some
+    row, col = _places(docs, some, bits)
+    by_col = np.argsort(col, kind="stable")
+    row, col = row[by_col], col[by_col]
+    cuts = np.searchsorted(col, np.arange(0, len(some) + _BLOCK, _BLOCK))
+
+    def dense(k: int) -> np.ndarray:
+        out = np.zeros((len(docs), min(_BLOCK, len(some) - k * _BLOCK)), np.float32)
+        out[row[cuts[k] : cuts[k + 1]], col[cuts[k] : cuts[k + 1]] - k * _BLOCK] = 1
+        return out
+
+    best = np.zeros(len(some))
+    for i in range(len(cuts) - 1):
+        a = dense(i)
+        with_error, with_spread = (a * error[:, None]).T.copy(), (a * spread[:, None]).T.copy()
+        for j in range(i, len(cuts) - 1):
+            b = a if i == j else dense(j)
+            g = np.abs(with_error @ b)
+            if g.max() < LEAST_PAIR:
+                continue
+            z = np.where(g >= LEAST_PAIR, g / np.sqrt(with_spread @ b + 1e-9), 0)
+            for at, top in ((i, z.max(1)), (j, z.max(0))):
+                here = slice(at * _BLOCK, at * _BLOCK + len(top))
+                best[here] = np.maximum(best[here], top)
+    strong = best >= LEAST_PAIR_Z
+    strong &= ~np.isin(some, kept)
+    found = np.flatnonzero(strong)
+    return some[found[np.argsort(-best[found], kind="stable")[: terms - len(kept)]]]
+
+
+def _descend(none: FactorizationMachine, kept: np.ndarray, docs: list[np.ndarray], y: np.ndarray, steps: int, l1: float, l2: float, pairs: bool) -> tuple[FactorizationMachine, np.ndarray]:
+    """The machine on ``kept`` buckets and its probabilities: Adam on the whole sample, with an l1 penalty on the linear weights and an l2 one on the factors, which stay as they start without ``pairs``."""
+    n, bias, factors, bits = len(y), none.bias, none.v.shape[1], none.bits
+    row, col = _places(docs, kept, bits)
     by_col = np.argsort(col, kind="stable")
     row_c, m = row[by_col], len(kept)
     starts_c = np.searchsorted(col[by_col], np.arange(m))
@@ -141,7 +202,7 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
         return out
 
     rng = np.random.default_rng(7)
-    w, v = np.zeros(m), rng.normal(0, 0.01, (m, factors))
+    w, v = np.zeros(m), rng.normal(0, 0.01, (m, factors)) if pairs else np.zeros((m, factors))
     state = [[np.zeros_like(x), np.zeros_like(x)] for x in (w, v)]
     b, b_state = bias, [0.0, 0.0]
     # Both classes weigh the same up to a factor of three.
@@ -155,14 +216,14 @@ def fit(docs: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
         gs = by_cols((g * per)[row_c][:, None] * s[row_c])
         gv = (gs - by_cols((g * per)[row_c][:, None])[:, :1] * v) / n + l2 * v
         # The first half of the steps fits the linear part; the factors then learn what is left.
-        for x, gx, st in ((w, gw, state[0]), (v, gv, state[1]))[: 1 + (2 * t > steps)]:
+        for x, gx, st in ((w, gw, state[0]), (v, gv, state[1]))[: 1 + (pairs and 2 * t > steps)]:
             st[0] = 0.9 * st[0] + 0.1 * gx
             st[1] = 0.99 * st[1] + 0.01 * gx * gx
             x -= 0.1 * (st[0] / (1 - 0.9**t)) / (np.sqrt(st[1] / (1 - 0.99**t)) + 1e-8)
         gb = g.mean()
         b_state = [0.9 * b_state[0] + 0.1 * gb, 0.99 * b_state[1] + 0.01 * gb * gb]
         b -= 0.1 * (b_state[0] / (1 - 0.9**t)) / (np.sqrt(b_state[1] / (1 - 0.99**t)) + 1e-8)
-    return FactorizationMachine(kept, float(b), w, v, bits)
+    return FactorizationMachine(kept, float(b), w, v, bits), 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
 def packed(ids: list[int]) -> bytes:

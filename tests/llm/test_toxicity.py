@@ -47,6 +47,31 @@ def test_pairs_are_learnt_by_the_factors():
     assert accuracy(model, texts[3000:], labels[3000:]) < 0.7
 
 
+def test_pairs_are_learnt_with_the_defaults():
+    texts, labels = corpus(4000, True)
+    model = fitted(texts[:3000], labels[:3000])
+    assert accuracy(model, texts[3000:], labels[3000:]) > 0.9
+    model.v[:] = 0
+    assert accuracy(model, texts[3000:], labels[3000:]) < 0.7
+
+
+def test_a_rare_pair_of_usual_words_is_learnt():
+    """A group and an insult that are both usual in clean texts, beside words that are toxic alone."""
+    rng = random.Random(5)
+
+    def some(n, insult, group, alone):
+        texts = [" ".join(rng.sample(FILL, 12) + ["cattle"] * insult + ["martians"] * group + [rng.choice(INSULTS)] * alone) for _ in range(n)]
+        return texts, np.full(n, float(alone or (insult and group)))
+
+    parts = [some(40, 1, 1, 0), some(400, 0, 1, 0), some(400, 1, 0, 0), some(600, 0, 0, 1), some(5600, 0, 0, 0)]
+    texts, labels = [t for p in parts for t in p[0]], np.concatenate([p[1] for p in parts])
+    rate = labels.mean()
+    assert abs(40 - 440 * rate) / np.sqrt(440 * rate * (1 - rate)) < toxicity.LEAST_Z  # neither word tells the classes apart alone
+    model = fitted(texts, labels)
+    for more in (some(200, 1, 1, 0), some(200, 0, 1, 0), some(200, 1, 0, 0), some(200, 0, 0, 1), some(200, 0, 0, 0)):
+        assert accuracy(model, *more) > 0.95
+
+
 @pytest.mark.parametrize("labels", [[], [1.0, 1.0], [0.0, 0.0]])
 def test_without_two_classes(labels):
     model = toxicity.fit([np.array([1, 2])] * len(labels), np.array(labels))
