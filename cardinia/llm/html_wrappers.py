@@ -12,14 +12,15 @@ and is aligned with one page after another:
 Wrappers of one host align with each other just as pages do, so each task infers its
 own, and these meet in two steps (by host and salt, then by host): no task sees all
 pages of a host with a third of the table. A wrapper then says which blocks are the
-article: the region under ``article`` or ``main``, else the part of the page that holds
-most of the variable text, without menus, forms, adverts, comments and the like, and
+article: the region under ``article`` or ``main``, else the lowest element that holds
+all variable text, without menus, forms, adverts, comments and the like, and
 without slots that have the same text on every page of the host.
 """
 
 from __future__ import annotations
 
 import html as html_lib
+import os.path
 import pickle
 import re
 import zlib
@@ -238,20 +239,12 @@ def decisions(wrapper: Wrapper) -> tuple[tuple[str, ...], frozenset]:
         if regions:
             break
     if not regions and slots:
-        # The part with most of the variable text: go down while one child holds most of it.
-        mass = [(path.split("/"), s[0]) for path, *_, s in slots if s[1] == VARIABLE or pages < 2] or [(path.split("/"), s[0]) for path, *_, s in slots]
-        prefix: list[str] = [""]
-        while True:
-            inside = [(p, c) for p, c in mass if p[: len(prefix)] == prefix]
-            children: dict[str, int] = {}
-            for p, c in inside:
-                if len(p) > len(prefix) + 1:  # elements that hold other blocks
-                    children[p[len(prefix)]] = children.get(p[len(prefix)], 0) + c
-            best = max(children, key=lambda x: (children[x], x), default=None)
-            if best is None or children[best] < 0.6 * sum(c for _, c in inside):
-                break
-            prefix = [*prefix, best]
-        regions.add("/".join(prefix))
+        # The lowest element that holds all variable text. Text that only one page has is not known to be the template's.
+        paths = {path for path, _, _, n, s in slots if s[1] == VARIABLE or n < 2} or {path for path, *_ in slots}
+        split = [p.split("/") for p in paths]
+        if len(paths) == 1:
+            split[0].pop()
+        regions.add("/".join(os.path.commonprefix(split)))
 
     def within(path: str) -> bool:
         return any(path == r or path.startswith(f"{r}/") for r in regions)

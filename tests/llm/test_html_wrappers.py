@@ -63,6 +63,26 @@ def test_the_templates_own_text_goes():
     assert extracted([pages[0]] * 6)[1][0].count("\n") == 2  # nothing varies, so nothing is the template's
 
 
+@pytest.mark.parametrize("body", [
+    "<div class=content><h1>{h}</h1><p>{p}</p><ul><li>{l}</li></ul></div>", "<div class=content><p>{p}</p><blockquote><p>{l}</p></blockquote></div>",
+    "<div class=intro><p>{p}</p></div><div class=text><p>{l}</p></div>", "<h1>{h}</h1><div class=content><p>{l}</p></div>",
+    "<div class=content>{p}<p>{l}</p></div>",
+])
+@pytest.mark.parametrize("pages", [1, 2, 6])
+def test_without_article_no_variable_text_is_lost(body, pages):
+    parts = [{"h": f"Title {i}", "p": f"words {i} " * 60, "l": f"more {i} " * 170} for i in range(pages)]
+    menu, end = "<nav><p>Home</p></nav>", "<footer>End</footer>"
+    _, texts = extracted([f"<html><body>{menu}{body.format(**p)}{end}</body></html>" for p in parts])
+    order = sorted((k for k in "hpl" if f"{{{k}}}" in body), key=lambda k: body.index(f"{{{k}}}"))
+    assert texts == ["\n".join(p[k].strip() for k in order) for p in parts]
+
+
+def test_without_article_a_block_of_one_page_stays():
+    pages = [f"<body><p>Site</p><div class=x><p>Text {i}</p><h2>Part {i}</h2></div>{'<div class=y><p>Only here</p></div>' * (i == 3)}</body>" for i in range(6)]
+    texts = extracted(pages)[1]
+    assert texts[3].endswith("Text 3\nPart 3\nOnly here") and texts[2].endswith("Text 2\nPart 2")
+
+
 def test_alignment_does_not_depend_on_the_split():
     pages = [shop(i, random.Random(i).randint(1, 4), comments=i % 3 == 0) for i in range(9)]
     whole = extracted(pages)[0]
