@@ -13,8 +13,8 @@ Wrappers of one host align with each other just as pages do, so each task infers
 own, and these meet in two steps (by host and salt, then by host): no task sees all
 pages of a host with a third of the table. A wrapper then says which blocks are the
 article: the region under ``article`` or ``main``, else the lowest element that holds
-all variable text, without menus, forms, adverts, comments and the like, and
-without slots that have the same text on every page of the host.
+all variable text, without menus, forms, adverts, comments and the like. ``extract``
+keeps slots there that have the same text on every page of the host.
 """
 
 from __future__ import annotations
@@ -226,8 +226,11 @@ def aligned(a: Wrapper, b: Wrapper) -> Wrapper:
     return a[0] + b[0], folded(out)
 
 
-def decisions(wrapper: Wrapper) -> tuple[tuple[str, ...], frozenset]:
-    """What the wrapper says about its host: the article's regions (path prefixes), and the (path, crc) of the template's own texts."""
+def decisions(wrapper: Wrapper, constant: int | None = _CONSTANT) -> tuple[tuple[str, ...], frozenset]:
+    """What the wrapper says about its host: the article's regions (path prefixes), and the (path, crc) of the template's own texts.
+
+    These are texts in the regions that are the same on all of ``constant`` pages or more; with None, none are.
+    """
     pages, items = wrapper
     slots = [(path, x[1], x[2], x[3], s) for x in items for path, s in zip(x[0], x[4], strict=True) if not excluded(path)]
     regions: set[str] = set()
@@ -246,12 +249,15 @@ def decisions(wrapper: Wrapper) -> tuple[tuple[str, ...], frozenset]:
             split[0].pop()
         regions.add("/".join(os.path.commonprefix(split)))
 
+    if constant is None:
+        return tuple(sorted(regions)), frozenset()
+
     def within(path: str) -> bool:
         return any(path == r or path.startswith(f"{r}/") for r in regions)
 
     own = [s for s in slots if within(s[0])]
     variable = sum(s[4][0] for s in own if s[4][1] == VARIABLE)
-    fixed = [s for s in own if s[4][1] != VARIABLE and not s[1] and not s[2] and s[3] == pages >= _CONSTANT]
+    fixed = [s for s in own if s[4][1] != VARIABLE and not s[1] and not s[2] and s[3] == pages >= constant]
     if variable <= sum(s[4][0] for s in fixed):
         fixed = []
     return tuple(sorted(regions)), frozenset((s[0], s[4][1]) for s in fixed)
@@ -296,7 +302,7 @@ def infer(pages: DataFrame, url_col: str, html_col: str, salts: int = 16) -> Dat
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sent: int = SENT) -> DataFrame:
-    """id, url, text, n_chars for each page, from its whole html.
+    """id, url, text, n_chars for each page, from its whole html; text that all pages of a host share stays, however many they are.
 
     Null html has the empty text. Pages without a url, or with one that names no host,
     share a wrapper. Repeated rows give repeated rows; an empty table gives an empty
@@ -309,7 +315,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
     size = wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0
     if size <= sent:
-        rules = {r.host: decisions(pickle.loads(bytes(r.wrapper))) for r in wrappers.collect()}
+        rules = {r.host: decisions(pickle.loads(bytes(r.wrapper)), None) for r in wrappers.collect()}
         to_all = pages.sparkSession.sparkContext.broadcast(rules)
         found = None
     else:
@@ -324,7 +330,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
                 if host not in known:
                     if len(known) > 1000:
                         known.clear()
-                    known[host] = decisions(pickle.loads(b.column(4)[k].as_py()))
+                    known[host] = decisions(pickle.loads(b.column(4)[k].as_py()), None)
                 texts.append(main_text(page.as_py(), known[host]))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 

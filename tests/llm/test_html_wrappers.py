@@ -110,3 +110,11 @@ def test_rows(spark):
         assert sorted(((r.page_id, r.url, r.text) for r in out), key=str) == want
         assert all(r.n_chars == len(r.text) for r in out)
     assert hw.extract(df.limit(0)).count() == 0
+
+
+def test_constant_text_of_articles_stays_for_any_number_of_pages(spark):
+    page = "<body><nav><p>Home</p></nav><article><h2>Abstract</h2><h1>T{0}</h1><p>Body text number {0}, quite long.</p></article></body>"
+    rows = [(100 * n + i, f"https://h{n}.example.com/{i}", page.format(i), None, None, None) for n in (1, 4, 5, 9) for i in range(n)]
+    for sent in (hw.SENT, 0):
+        out = hw.extract(spark.createDataFrame(rows, SCHEMA), sent=sent).collect()
+        assert {r.page_id: r.text for r in out} == {r[0]: f"Abstract\nT{r[0] % 100}\nBody text number {r[0] % 100}, quite long." for r in rows}
