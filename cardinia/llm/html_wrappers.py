@@ -40,7 +40,7 @@ _TOKEN = re.compile(
     r"|<[a-zA-Z/!?][^>]*\Z",
     re.S | re.I,
 )
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAMES = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _PART = re.compile(r"[a-z]+")
 _BLOCKS = frozenset(
     "html head body main article section aside header footer nav div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption"
@@ -57,6 +57,16 @@ _MARKS = frozenset(
     " cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup paywall disclaimer share sharing social related recommended"
     " comment comments commentlist respond reply replies discussion disqus".split()
 )
+#: Inside the article a name marks only as a whole: a mark, or marks joined with these parts alone.
+_JOINED = frozenset(
+    "list area box block bar button buttons link links icon icons item items container wrapper wrap thread form slot unit post posts article articles"
+    " story stories entry page site js wp widget top bottom inline".split()
+)
+_JOINED_NAMES = frozenset((("comment", "section"), ("comments", "section"), ("disqus", "thread"), ("related", "content"), ("recommended", "content")))
+#: Ids of the first are anchors; inside the article, ids of the second alone count, and only if they join parts.
+_ANCHORED, _HOLDING = frozenset("h1 h2 h3 h4 h5 h6 p".split()), frozenset("div ul ol dl table".split())
+#: What the path has of an element inside the article whose names say that it is not the article's.
+_FOREIGN = "!"
 #: A header by its marks, unless these say that it is the article's own.
 _HEADER, _OWN = "header", frozenset("article post entry story content".split())
 #: Class names that speak of something else on the page, as in "no-sidebar".
@@ -70,6 +80,25 @@ SENT = 32 << 20
 VARIABLE = -1
 
 
+def _marks(name: str, attributes: str, inside: bool) -> str:
+    """The element's marks as its path has them: letter parts of its names, and _FOREIGN."""
+    found: set[str] = set()
+    for kind, *values in _NAMES.findall(attributes):
+        kind = kind.lower()
+        if kind == "id" and name in _ANCHORED:
+            continue
+        for c in "".join(values).lower().split():
+            if _ABOUT.match(c):
+                continue
+            parts = _PART.findall(c)
+            found.update(parts)
+            if inside and (kind != "id" or (name in _HOLDING and len(parts) > 1)):
+                whole = not _MARKS.isdisjoint(parts) and all(w in _MARKS or w in _JOINED for w in parts)
+                if whole or tuple(parts) in _JOINED_NAMES:
+                    found.add(_FOREIGN)
+    return "." + ".".join(sorted(found)) if found else ""
+
+
 def blocks(page: str | None) -> list[tuple[str, str]]:
     """(path, text) of every block with text, in page order; paths are elements with their marks, '/' between."""
     page = page or ""
@@ -117,10 +146,7 @@ def blocks(page: str | None) -> list[tuple[str, str]]:
                     pop()
             if name in _VOID:
                 continue
-            marks = ""
-            if m[4]:
-                found = {w for a in _NAMES.findall(m[4]) for c in "".join(a).lower().split() if not _ABOUT.match(c) for w in _PART.findall(c)}
-                marks = "." + ".".join(sorted(found)) if found else ""
+            marks = _marks(name, m[4], "article" in stack or "main" in stack) if m[4] else ""
             push(name, marks)
     if at < len(page):
         held.append(page[at:])
@@ -135,8 +161,11 @@ def excluded(path: str) -> bool:
         name, *marks = element.split(".")
         if name in _NEVER or (name == "header" and not inside):
             return True
-        if inside or name not in ("html", "body", "main", "article"):
-            if not _MARKS.isdisjoint(marks) or (not inside and _HEADER in marks and _OWN.isdisjoint(marks)):
+        if inside:
+            if _FOREIGN in marks:
+                return True
+        elif name not in ("html", "body", "main", "article"):
+            if not _MARKS.isdisjoint(marks) or (_HEADER in marks and _OWN.isdisjoint(marks)):
                 return True
         inside = inside or name in ("article", "main")
     return False

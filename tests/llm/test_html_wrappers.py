@@ -100,6 +100,28 @@ def test_odd_markup(page, text):
     assert hw.main_text(page, hw.decisions(hw.page_wrapper(page))) == text
 
 
+KEPT = [
+    "<section id='discussion'>x</section>", "<h2 id='related-work'>x</h2>", "<h2 id='reply-rates'>x</h2>", "<div id='social-policy'>x</div>", "<p class='alert-level'>x</p>",
+    "<div id='discussion'>x</div>", "<p id='comments'>x</p>", "<div class='share-price'>x</div>", "<div class='no-sidebar'>x</div>", "<section class='banner-year'>x</section>",
+]
+GONE = [
+    "<ul class='comment-list'><li>x</li></ul>", "<div class='share-buttons'>x</div>", "<div class='related-posts'><p>x</p></div>", "<p class=share>x</p>", "<section class='post-comments'>x</section>",
+    "<div class='lead ad-slot'>x</div>", "<div id='disqus_thread'>x</div>", "<div id=comment-list>x</div>", "<section class='comments-section'>x</section>", "<div role=navigation>x</div>", "<form>x</form>",
+]
+
+
+@pytest.mark.parametrize("tag", ["article", "main"])
+@pytest.mark.parametrize(("part", "kept"), [*((p, True) for p in KEPT), *((p, False) for p in GONE)])
+def test_names_inside_the_article(part, kept, tag):
+    page = f"<body><nav>Home</nav><{tag}><p>start</p>{part}<p>end</p></{tag}></body>"
+    assert hw.main_text(page, hw.decisions(hw.page_wrapper(page))) == ("start\nx\nend" if kept else "start\nend")
+
+
+def test_ids_of_headings_outside_articles():
+    page = "<body><div class=content><h2 id='related-work'>x</h2><p>end</p></div><div id=comments>no</div></body>"
+    assert hw.main_text(page, hw.decisions(hw.page_wrapper(page))) == "x\nend"
+
+
 def test_rows(spark):
     rows = [(i, f"https://{'hot' if i % 2 else 'h' + str(i % 5)}.example.com/a/{i}?q", shop(i, i % 4 + 1), "h", "w", 3) for i in range(40)]
     rows += [(40, None, None, None, None, None), (41, "", "", None, None, None), (42, "nothing", "<p>alone</p>", None, None, None), rows[3], (None, "//x.org/a", shop(9, 30_000), None, None, None)]
