@@ -34,8 +34,10 @@ REMEMBERED = 400_000
 
 _LETTERS = "a-zªµºÀ-ÖØ-öø-ɏ"
 _NUMBERS = "0-9²³¹¼-¾"
+#: Capitals whose lower-case letters are beyond _LETTERS, such as U+0186.
+_FAR = {c for c in map(chr, range(0x100, 0x250)) if c.lower() > "\u024f"}
 #: Texts of these characters alone are in normal form C and mean the same to every Unicode version.
-_PLAIN = re.compile("[\t\n\r\x20-\x7e¡-įı-ɏ]*")
+_PLAIN = re.compile("[\t\n\r\x20-\x7e¡-\xff" + "".join(c for c in map(chr, range(0x100, 0x250)) if c != "\u0130" and c not in _FAR) + "]*")
 _PLAIN_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\\s{_LETTERS}{_NUMBERS}]+")
 
 

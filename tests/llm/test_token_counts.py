@@ -26,6 +26,23 @@ def test_edge_cases(text):
     assert token_counts.counter().count(text) == library(text)
 
 
+def test_every_character_of_plain_texts():
+    c = token_counts.counter()
+    plain = [ch for ch in map(chr, range(0x250)) if token_counts._PLAIN.fullmatch(ch)]
+    assert len(plain) > 500 and "\u0186" not in plain and "\u0259" not in plain
+    back = c._bytes
+    for ch in plain:
+        for text in (ch, f"KONSTITUSIYA{ch}", f"KONSTITU{ch}IYA", f"9{ch}.", f"it's {ch}{ch}1"):
+            pieces = c.tokenizer.pre_tokenizer.pre_tokenize_str(c.tokenizer.normalizer.normalize_str(text))
+            assert c.words(text) == [bytes(map(back.__getitem__, p)).decode() for p, _ in pieces], hex(ord(ch))
+
+
+@pytest.mark.parametrize("ch", ["\u0186", "\u018f", "\u0190", "\u0181", "\u018a", "\u0244", "\u023a", "\u0245"])
+def test_capitals_with_far_lower_case(ch):
+    for text in (f"KONSTITUSIYA{ch}", f"KONSTITU{ch}IYA", f"An {ch}{ch.lower()} b"):
+        assert token_counts.counter().count(text) == library(text)
+
+
 def test_every_prefix_of_a_word(spark):
     c = token_counts.counter()
     random.seed(1)
