@@ -4,18 +4,77 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+#: The only local folder, made where ``spark.checkpoint.dir`` is unset (single-machine tests).
+_own: list[str] = []
+#: The tables of the scopes that are open.
+_scopes: ContextVar[tuple[list[DataFrame], ...]] = ContextVar("scopes", default=())
+#: Folders of applications that are marked to go when their JVM ends.
+_marked: set[str] = set()
+
+
+def _files(spark: SparkSession, path: str):
+    """The JVM's path, and the file system that it is on."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p, p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def scratch_dir(spark: SparkSession) -> str:
+    """This application's folder under ``spark.checkpoint.dir``; it goes when the application ends."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named:
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="cardinia-"))
+        named = f"file://{_own[0]}"
+    folder = f"{named.rstrip('/')}/cardinia-{spark.sparkContext.applicationId}"
+    if folder not in _marked:
+        path, files = _files(spark, folder)
+        files.mkdirs(path)
+        files.deleteOnExit(path)
+        _marked.add(folder)
+    return folder
 
 
 def materialised(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written under ``spark.checkpoint.dir`` (a local folder only where that is unset) and read again."""
+    """``df`` written as a table in the shared folder and read again.
+
+    This cuts the lineage: a lost executor costs only the reading of a file.
+    """
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        own = getattr(materialised, "own", None) or tempfile.mkdtemp(prefix="cardinia-")
-        materialised.own = own
-        folder = f"file://{own}"
-    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    if _scopes.get():
+        _scopes.get()[-1].append(out)
+    return out
+
+
+@contextmanager
+def scope(*kept: DataFrame) -> Iterator[list[DataFrame]]:
+    """Tables that are written inside are deleted at the end, but for those in the list that it gives: these outlive it."""
+    own: list[DataFrame] = []
+    keep: list[DataFrame] = list(kept)
+    token = _scopes.set((*_scopes.get(), own))
+    try:
+        yield keep
+    finally:
+        _scopes.reset(token)
+        paths = {x.written_at for x in keep}
+        discard(*[t for t in own if t.written_at not in paths])
+        if _scopes.get():
+            _scopes.get()[-1].extend(t for t in own if t.written_at in paths)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Deletes ``materialised`` tables that nothing reads any more."""
+    for t in tables:
+        path = getattr(t, "written_at", None)
+        if path is not None:
+            p, files = _files(t.sparkSession, path)
+            files.delete(p, True)
