@@ -36,6 +36,7 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--kmeans", action="store_true")
     p.add_argument("--same_sign", action="store_true")
     p.add_argument("--exact_degree", action="store_true", help="bound-sketch-unfiltered: filter the degrees, too")
+    p.add_argument("--unscaled_degree", action="store_true", help="keep models' degree sketches as they are under filters")
     p.add_argument("--selectivity_estimator", choices=("exact", "count-min", "count-sketch"), default="count-min")
     p.add_argument("--check_error", action="store_true", help="compare the models' sketches with exact ones")
     p.add_argument("--pickle", help="folder that keeps the models' tables for later runs")
@@ -56,12 +57,12 @@ def run(spark: SparkSession, arguments: list[str] | None = None) -> None:
     engine = Engine(
         spark, dataset, sources.read_dataset(spark, a.data, dataset, a.format), "same-sign" if a.same_sign else a.method, a.depth, a.width,
         "exact" if a.exact_sketch else "model", "mean" if a.mean else a.percentile, a.seed, a.independence, a.selectivity_estimator, a.pessimistic,
-        a.k, a.rdc_threshold, a.min_cluster, a.cluster_first, "kmeans" if a.kmeans else "gmm", a.exact_degree, cache_dir=a.pickle,
+        a.k, a.rdc_threshold, a.min_cluster, a.cluster_first, "kmeans" if a.kmeans else "gmm", a.exact_degree, cache_dir=a.pickle, scale_degree=not a.unscaled_degree,
     )
     results = engine.evaluate(queries)
     results.show(20, False)
     evaluation.q_error_slices(results).orderBy("slice").show(100, False)
-    evaluation.totals(results, ["inference_s"]).show()
+    evaluation.totals(results, ["sketching_s", "inference_s", "estimation_s"]).show()
     if a.check_error:
         for sql, _ in queries:
             engine.diagnose(sql).show(100, False)

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+import pickle
 import time
 from collections.abc import Iterable
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +19,7 @@ from cardinia.plans.dataset import Dataset
 from cardinia.plans.predicates import conjunction
 from cardinia.plans.query import Query
 from cardinia.sources import tables as sources
-from cardinia.sources.scratch import materialised
+from cardinia.sources.scratch import materialised, scope
 
 METHODS = ("ams", "count-sketch", "count-min", "bound-sketch", "bound-sketch-unfiltered", "same-sign")
 
@@ -29,9 +34,11 @@ class Engine:
 
     mode 'exact' sketches filtered rows; 'model' multiplies the sketches of a learnt
     model's leaves with probabilities. how: 'min', 'mean' or the quantile of the rows'
-    estimates (pessimistic: the largest). Unfiltered sketches are kept as tables in the
-    shared folder and reused by every query that joins on the same keys; ``cache_dir``
-    keeps the tables' rows with their leaves for later engines.
+    estimates (pessimistic: the largest). Unfiltered sketches, and what a model's leaves
+    hold, are kept as tables in the shared folder and reused by every query that joins on
+    the same keys; ``cache_dir`` keeps the tables' rows with their leaves for later
+    engines with the same rows and settings. ``scale_degree`` False keeps a model's degree
+    sketches unscaled, so that its bound is one from above for their part.
     """
 
     def __init__(
@@ -56,6 +63,7 @@ class Engine:
         exact_degree: bool = False,
         sample_rows: int = 10_000,
         cache_dir: str | None = None,
+        scale_degree: bool = True,
     ):
         if method not in METHODS:
             raise ValueError(f"method {method!r} is none of {METHODS}")
@@ -69,6 +77,8 @@ class Engine:
         self.family = HashFamily(seed, sign_k)
         self.learning = {"threshold": rdc_threshold, "min_cluster": min_cluster, "k": k, "how": clusterer, "cluster_first": cluster_first}
         self.filters, self.pessimistic, self.exact_degree, self.sample_rows, self.cache_dir = selectivity, pessimistic, exact_degree, sample_rows, cache_dir
+        self.scale_degree = scale_degree
+        self.lock = Lock()
         self.models: dict[str, spn.TableModel] = {}
         self.kept: dict[tuple, DataFrame] = {}
         self.kinds = {t: {c: s.kind for c, s in x.columns.items()} for t, x in dataset.tables.items()}
@@ -79,9 +89,12 @@ class Engine:
             spec, df = self.dataset.tables[table], self.tables[table]
             tree, features = spn.learn(dependence.sample_rows(df, list(spec.columns), self.sample_rows), spec, spec.keys, **self.learning)
             rows = None
-            if self.cache_dir:  # learning is deterministic, so the leaves of equal tables are, too
-                rows = sources.cached(self.spark, f"{self.cache_dir}/{table}", lambda: spn.assigned(df.select(*tree.columns), tree, features), df.count())
-            self.models[table] = spn.TableModel.build(df, spec, tree, features, self.filters, self.family, self.depth, self.width, self.pessimistic, rows)
+            if self.cache_dir:
+                columns = list(spec.columns)
+                what = pickle.dumps((table, str(tree), [(n.conditions, n.clusters) for n in tree.walk()], self.learning, self.sample_rows, dependence.fingerprint(df, columns)))
+                path = f"{self.cache_dir}/{table}-{hashlib.sha256(what).hexdigest()[:16]}"
+                rows = sources.cached(self.spark, path, lambda: spn.assigned(df.select(*tree.columns), tree, features), df.count())
+            self.models[table] = spn.TableModel.build(df, spec, tree, features, self.filters, self.family, self.depth, self.width, self.pessimistic, rows, self.scale_degree)
         return self.models[table]
 
     def relation(self, query: Query, alias: str, kind: str, filtered: bool = True, exact: bool | None = None) -> DataFrame:
@@ -96,28 +109,44 @@ class Engine:
         if predicates:
             return sketches.sketch(self.tables[table], keys, self.family, kind, self.depth, self.width, where)
         name = (table, keys, kind)
-        if name not in self.kept:
-            self.kept[name] = materialised(sketches.sketch(self.tables[table], keys, self.family, kind, self.depth, self.width), "sketch")
-        return self.kept[name]
+        with self.lock:
+            if name not in self.kept:
+                self.kept[name] = materialised(sketches.sketch(self.tables[table], keys, self.family, kind, self.depth, self.width), "sketch", True)
+            return self.kept[name]
+
+    def _sketches(self, query: Query) -> dict[str, dict[str, DataFrame]]:
+        """What the method needs: by role ('counts', 'degrees') and alias."""
+        aliases = [a for a, _ in query.tables]
+        kind = "count-sketch" if self.method == "ams" else self.method
+        if kind in ("count-sketch", "count-min", "same-sign"):
+            return {"counts": {a: self.relation(query, a, kind) for a in aliases}}
+        counts = {a: self.relation(query, a, "count-min") for a in aliases}
+        if kind == "bound-sketch":
+            return {"counts": counts, "degrees": {a: self.relation(query, a, kind) for a in aliases}}
+        # Degrees are exact, and without filters unless exact_degree asks for them.
+        return {"counts": counts, "degrees": {a: self.relation(query, a, "bound-sketch", self.exact_degree, True) for a in aliases}}
+
+    def _contracted(self, query: Query, found: dict[str, dict[str, DataFrame]]) -> DataFrame:
+        counts = found["counts"]
+        if "degrees" in found:
+            return contraction.bound_estimate(query, counts, found["degrees"], self.depth, self.width)
+        if self.method == "same-sign":
+            return contraction.same_sign_estimate(query, counts, self.depth, self.width, self.how)
+        return contraction.count_estimate(query, counts, self.depth, self.width, "min" if self.method == "count-min" else self.how)
 
     def estimate(self, sql: str | Query) -> DataFrame:
         """One row, ``estimate``. Negative estimates are left as they are; queries of one table are counted by selectivity."""
         query = sql if isinstance(sql, Query) else Query.parse(sql)
-        if not query.joins:
-            return self._single(query)
-        aliases = [a for a, _ in query.tables]
-        if self.method in ("ams", "count-sketch"):
-            return contraction.count_estimate(query, {a: self.relation(query, a, "count-sketch") for a in aliases}, self.depth, self.width, self.how)
-        if self.method == "count-min":
-            return contraction.count_estimate(query, {a: self.relation(query, a, "count-min") for a in aliases}, self.depth, self.width, "min")
-        if self.method == "same-sign":
-            return contraction.same_sign_estimate(query, {a: self.relation(query, a, "same-sign") for a in aliases}, self.depth, self.width, self.how)
-        counts = {a: self.relation(query, a, "count-min") for a in aliases}
-        if self.method == "bound-sketch":
-            degrees = {a: self.relation(query, a, "bound-sketch") for a in aliases}
-        else:  # degrees are exact, and without filters unless exact_degree asks for them
-            degrees = {a: self.relation(query, a, "bound-sketch", self.exact_degree, True) for a in aliases}
-        return contraction.bound_estimate(query, counts, degrees, self.depth, self.width)
+        return self._contracted(query, self._sketches(query)) if query.joins else self._single(query)
+
+    def prepare(self, query: Query) -> None:
+        """Makes what does not depend on the query's filters: the models, their leaves' sketches, unfiltered sketches."""
+        bare = replace(query, filters={})
+        if self.mode == "model":
+            for _, table in query.tables:
+                self.model(table)
+        if query.joins and (self.mode == "model" or self.method == "bound-sketch-unfiltered"):
+            self._sketches(bare)
 
     def _single(self, query: Query) -> DataFrame:
         if len(query.tables) != 1:
@@ -133,20 +162,44 @@ class Engine:
         query = sql if isinstance(sql, Query) else Query.parse(sql)
         return evaluation.true_cardinality(query, self.tables, self.kinds)
 
-    def evaluate(self, queries: Iterable[tuple[str, float | None]]) -> DataFrame:
-        """query, estimate, cardinality (joined where not given), q_error, num_tables, components, ranged, inference_s for each (sql, cardinality).
-
-        Each query is a job of its own; only its one number comes to the driver.
+    def _timed(self, query: Query) -> tuple[float, float, float]:
+        """The estimate, the seconds for the relations' sketches under their filters, and those for contracting them."""
+        start = time.perf_counter()
+        if not query.joins:
+            return float(self._single(query).first().estimate), time.perf_counter() - start, 0.0
+        with scope():
+            found = {role: {a: materialised(df, "relation") for a, df in by.items()} for role, by in self._sketches(query).items()}
+            made = time.perf_counter()
+            estimate = self._contracted(query, found).first().estimate
+        return float(estimate), made - start, time.perf_counter() - made
+
+    def evaluate(self, queries: Iterable[tuple[str, float | None]], threads: int = 4) -> DataFrame:
+        """One row for each (sql, cardinality): query, estimate, cardinality (joined where not given), q_error, num_tables, components, ranged, and seconds.
+
+        sketching_s: for what does not depend on filters (0 where an earlier query needed
+        the same), inference_s: for the relations' sketches under filters, estimation_s:
+        for contracting them. Queries are jobs of their own, ``threads`` of them at a time;
+        only their numbers come to the driver.
         """
-        out = []
-        for sql, known in queries:
-            query = Query.parse(sql)
+        asked = [(sql, known, Query.parse(sql)) for sql, known in queries]
+        sketching = []
+        for _, _, query in asked:  # one after another: they share what they make
             start = time.perf_counter()
-            estimate = self.estimate(query).first().estimate
-            took = time.perf_counter() - start
-            cardinality = float(known) if known is not None else self.true_cardinality(query).first().cardinality
-            out.append((sql, float(estimate), cardinality, len(query.tables), len(set(query.components.values())), "<" in sql or ">" in sql, took))
-        schema = "query string, estimate double, cardinality double, num_tables int, components int, ranged boolean, inference_s double"
+            self.prepare(query)
+            sketching.append(time.perf_counter() - start)
+
+        def one(item: tuple[str, float | None, Query]) -> tuple[float, float, float, float]:
+            _, known, query = item
+            estimate, inference, estimation = self._timed(query)
+            return estimate, float(known) if known is not None else self.true_cardinality(query).first().cardinality, inference, estimation
+
+        with ThreadPoolExecutor(max(1, threads)) as pool:
+            found = list(pool.map(one, asked))
+        out = [
+            (sql, e, c, len(q.tables), len(set(q.components.values())), "<" in sql or ">" in sql, s, i, t)
+            for (sql, _, q), s, (e, c, i, t) in zip(asked, sketching, found, strict=True)
+        ]
+        schema = "query string, estimate double, cardinality double, num_tables int, components int, ranged boolean, sketching_s double, inference_s double, estimation_s double"
         df = self.spark.createDataFrame(out, schema)
         return df.withColumn("q_error", evaluation.q_error(F.col("estimate"), F.col("cardinality")))
 

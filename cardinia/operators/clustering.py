@@ -16,14 +16,13 @@ class Clusters:
     centres: np.ndarray
     variances: np.ndarray | None = None
     weights: np.ndarray | None = None
-    normal: np.ndarray | None = None
-    modulus: int = 0
-
-    def labels(self, x: np.ndarray, numbers: np.ndarray | None = None) -> np.ndarray:
-        if self.modulus:
-            return (np.arange(len(x)) if numbers is None else numbers) % self.modulus
-        if self.normal is not None:
-            return (np.sin(x @ self.normal) > 0).astype(int)
+    #: A cut in two along one feature, instead.
+    axis: int | None = None
+    cut: float = 0.0
+
+    def labels(self, x: np.ndarray) -> np.ndarray:
+        if self.axis is not None:
+            return (x[:, self.axis] > self.cut).astype(int)
         if self.variances is None:
             return np.argmin(((x[:, None, :] - self.centres[None]) ** 2).sum(-1), axis=1)
         return np.argmax(self._log(x), axis=1)
@@ -73,16 +72,22 @@ def gaussian_mixture(x: np.ndarray, k: int, rng: np.random.Generator, steps: int
     return out
 
 
+def median_cut(x: np.ndarray) -> Clusters:
+    """Two halves along the feature of greatest variance; one cluster where nothing varies."""
+    axis = int(np.argmax(x.var(0)))
+    column = np.sort(x[:, axis])
+    # The last value of the lower half, or the smallest where more than half are the largest.
+    cut = column[(len(column) - 1) // 2]
+    return Clusters(x[:1], axis=axis, cut=float(cut if cut < column[-1] else column[0]))
+
+
 def split(x: np.ndarray, k: int = 2, how: str = "gmm", seed: int = 1) -> tuple[Clusters, np.ndarray]:
-    """Clusters with at least two members' labels: mixtures or k-means, else the signs of a random projection, else alternate rows."""
+    """Clusters and the rows' labels: mixtures or k-means, or where these find one cluster, a median cut. Rows without any variance are one cluster."""
     rng = np.random.default_rng(seed)
     some = x if len(x) <= FIT_ROWS else x[rng.choice(len(x), FIT_ROWS, replace=False)]
     found = k_means(some, k, rng) if how == "kmeans" else gaussian_mixture(some, k, rng)
     labels = found.labels(x)
-    if len(np.unique(labels)) < 2:
-        found = Clusters(found.centres, normal=rng.random(x.shape[1]) - 0.5)
-        labels = found.labels(x)
-    if len(np.unique(labels)) < 2:
-        found = Clusters(found.centres, modulus=2)
+    if labels.min() == labels.max():
+        found = median_cut(x)
         labels = found.labels(x)
     return found, labels

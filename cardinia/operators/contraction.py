@@ -20,7 +20,9 @@ from pyspark.sql import functions as F
 from cardinia.plans.query import Query
 
 #: Widths from which correlation goes by Fourier transforms: the relational form makes cells * cells rows.
-FFT_WIDTH = 4096
+FFT_WIDTH = 2048
+#: Parts that the cells of a sketch row are dealt out in for the relational form.
+PARTS = 16
 Correlation = Callable[[DataFrame, DataFrame, int], DataFrame]
 
 
@@ -33,15 +35,16 @@ def product(sketches: list[DataFrame]) -> DataFrame:
 
 
 def correlate(sketch: DataFrame, message: DataFrame, width: int) -> DataFrame:
-    """sum over y of sketch[x + y] * message[y], for each x, in exact arithmetic."""
-    a = sketch.select("row", F.col("bin").alias("s"), F.col("v").cast("double").alias("a"))
-    b = message.select("row", F.col("bin").alias("y"), F.col("v").cast("double").alias("b"))
+    """sum over y of sketch[x + y] * message[y], for each x, in exact arithmetic; a row's message is dealt out, its sketch copied to each part."""
+    parts = F.sequence(F.lit(0), F.lit(PARTS - 1))
+    a = sketch.select("row", F.col("bin").alias("s"), F.col("v").cast("double").alias("a"), F.explode(parts).alias("part"))
+    b = message.select("row", F.col("bin").alias("y"), F.col("v").cast("double").alias("b"), F.pmod("bin", F.lit(PARTS)).cast("int").alias("part"))
     x = F.pmod(F.col("s") - F.col("y"), F.lit(width)).cast("int").alias("bin")
-    return a.join(b, "row").groupBy("row", x).agg(F.sum(F.col("a") * F.col("b")).alias("v"))
+    return a.join(b, ["row", "part"]).groupBy("row", x).agg(F.sum(F.col("a") * F.col("b")).alias("v"))
 
 
 def correlate_fft(sketch: DataFrame, message: DataFrame, width: int) -> DataFrame:
-    """The same by Fourier transforms, a task for each sketch row; the sums are rounded to whole numbers."""
+    """The same by Fourier transforms, a task for each sketch row; sums of whole numbers are rounded to whole numbers."""
 
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
@@ -49,7 +52,9 @@ def correlate_fft(sketch: DataFrame, message: DataFrame, width: int) -> DataFram
         x, y = np.zeros(width), np.zeros(width)
         np.add.at(x, a["bin"].to_numpy(), a["v"].to_numpy())
         np.add.at(y, b["bin"].to_numpy(), b["v"].to_numpy())
-        v = np.rint(np.fft.irfft(np.conj(np.fft.rfft(y)) * np.fft.rfft(x), width)) if width > 1 else x * y
+        v = np.fft.irfft(np.conj(np.fft.rfft(y)) * np.fft.rfft(x), width) if width > 1 else x * y
+        if (x == np.rint(x)).all() and (y == np.rint(y)).all():
+            v = np.rint(v)
         at = np.flatnonzero(v)
         return pd.DataFrame({"row": np.full(len(at), a["row"].iloc[0]), "bin": at, "v": v[at]})
 

@@ -26,37 +26,23 @@ def exact_selectivity(df: DataFrame, predicates: tuple[Predicate, ...], kinds: d
 def interval_cover(left: int, right: int, sizes: tuple[int, ...]) -> list[tuple[int, int, int]]:
     """(size, first, last): intervals [i * size, (i + 1) * size) that cover [left, right].
 
-    Coarse intervals come first and stay within the range and one smallest interval more;
-    finer ones fill what they leave at both ends. Only the smallest may reach beyond.
+    Greedily from the left: the largest aligned interval that starts within the range and
+    ends less than one smallest interval beyond it, else a smallest one. Runs of one size
+    are one entry.
     """
     if left > right:
         raise ValueError("the range is empty")
-    sizes = tuple(sorted(set(sizes), reverse=True))
-    smallest = sizes[-1]
-    limit = right + smallest
-    covered: tuple[int, int] | None = None
-    out: list[tuple[int, int, int]] = []
-
-    def within(size: int, low: int, high: int) -> tuple[int, int] | None:
-        """Intervals that lie in [low, high)."""
-        first, last = -(-low // size), high // size - 1
-        return (first, last) if first <= last else None
-
-    for size in sizes[:-1]:
-        gaps = [(left, limit)] if covered is None else [(left, covered[0]), (covered[1], limit)]
-        for low, high in gaps:
-            found = within(size, low, high)
-            if found is None:
-                continue
-            out.append((size, *found))
-            low, high = found[0] * size, (found[1] + 1) * size
-            covered = (low, high) if covered is None else (min(low, covered[0]), max(high, covered[1]))
-    if covered is None:
-        return [(smallest, left // smallest, right // smallest)]
-    if covered[0] > left:
-        out.append((smallest, left // smallest, covered[0] // smallest - 1))
-    if covered[1] <= right:
-        out.append((smallest, covered[1] // smallest, right // smallest))
+    sizes = tuple(sorted(set(sizes)))
+    step, stop = sizes[0], right + sizes[0]
+    at, out = left // step * step, []
+    while at <= right:
+        size = max((s for s in sizes if left <= at and at % s == 0 and at + s <= stop), default=step)
+        # The run ends where a larger interval fits, or where no more of this size do.
+        larger = [q for s in sizes if s > size and (q := -(-(at + 1) // s) * s) + s <= stop]
+        end = min([*larger, (right // step + 1) * step if size == step else at + (stop - at) // size * size])
+        many = max(1, (end - at) // size)
+        out.append((size, at // size, at // size + many - 1))
+        at += many * size
     return out
 
 
@@ -121,12 +107,20 @@ def probe_cells(cells: DataFrame, probes: DataFrame, depth: int, width: int, fam
     return per_size.groupBy(*by).agg(F.sum("s").alias("hits")) if by else per_size.agg(F.sum("s").alias("hits"))
 
 
-def sketched_selectivity(s: IntervalSketch, predicates: tuple[Predicate, ...], spark) -> DataFrame:
-    """One row, ``selectivity``, between 0 and 1; 1 without predicates, 0 out of the domain."""
+def sketched_selectivity(s: IntervalSketch, predicates: tuple[Predicate, ...], spark, subtract: bool = False) -> DataFrame:
+    """One row, ``selectivity``, between 0 and 1; 1 without predicates, 0 out of the domain.
+
+    <> has no effect; with ``subtract`` its point's own estimate is taken off (not of
+    doubles, which count by their floor).
+    """
     if not predicates:
         return spark.range(1).select(F.lit(1.0).alias("selectivity"))
-    found = None if s.low is None or not s.rows else integer_range(predicates, s.kind, s.low, s.high)
+    found = None if s.low is None or not s.rows else integer_range(predicates, s.kind, s.low, s.high, subtract and s.kind != "double")
     if found is None:
         return spark.range(1).select(F.lit(0.0).alias("selectivity"))
     hits = probe_cells(s.cells, cover_rows(spark, found[0], found[1], s.sizes), s.depth, s.width, s.family, s.signed)
-    return hits.select(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce("hits", F.lit(0.0)) / F.lit(float(s.rows)))).alias("selectivity"))
+    hits = hits.select(F.coalesce("hits", F.lit(0.0)).alias("hits"))
+    for point in set(found[2]):
+        hits = hits.unionByName(probe_cells(s.cells, cover_rows(spark, point, point, s.sizes), s.depth, s.width, s.family, s.signed).select((-F.coalesce("hits", F.lit(0.0))).alias("hits")))
+    share = F.sum("hits") / F.lit(float(s.rows))
+    return hits.agg(F.greatest(F.lit(0.0), F.least(F.lit(1.0), share)).alias("selectivity"))

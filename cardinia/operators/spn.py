@@ -4,16 +4,19 @@ A model is a tree. Sum nodes cut rows into clusters, product nodes cut columns i
 independent groups, leaves hold one filter column each, or all join keys together. The
 tree is learnt on a bounded sample; the table is then read once, each row gets the
 number of its leaf for every column by column expressions (labels of learnt clusters
-come from one vectorised pass), and the leaves' sketches are one aggregation keyed by
-leaf. A relation's sketch under filters is a sum over key leaves, each times the
-probabilities that the tree puts beside it.
+come from one vectorised pass), and what the leaves hold is made once, when it is first
+asked for, and kept in tables: join sketches of each set of keys, the counts of a filter
+column's values or its interval sketches. A relation's sketch under filters is a sum over
+key leaves, each times the probabilities that the tree puts beside it; it reads these
+tables only, unless a key itself is filtered.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from typing import Any
 
 import numpy as np
 import pandas as pd
@@ -24,7 +27,7 @@ from pyspark.sql import types as T
 from cardinia.functions.hashing import HashFamily, KeyUse, encoded
 from cardinia.operators import clustering, dependence, selectivity, sketches
 from cardinia.plans.dataset import Table
-from cardinia.plans.predicates import conjunction, integer_range
+from cardinia.plans.predicates import UNRANGED, conjunction, integer_range
 from cardinia.plans.query import Predicate
 from cardinia.sources.scratch import materialised
 
@@ -137,6 +140,8 @@ def learn(
             return independent(columns, keys)
         x = np.concatenate([values[c][rows] for c in columns], axis=1)
         found, labels = clustering.split(x, k, how, seed + depth)
+        if labels.min() == labels.max():  # rows that features cannot tell apart
+            return independent(columns, keys)
         children = [grow(columns, rows[labels == i], False, depth + 1) for i in range(k)]
         return Node("sum", tuple(columns), children, clusters=found)
 
@@ -151,14 +156,11 @@ def assigned(df: DataFrame, tree: Node, features: dict[str, dependence.ColumnFea
             for b in batches:
                 f = {c: features[c].of(b[c]) for c in {c for n in learnt for c in n.columns}}
                 for n in learnt:
-                    numbers = b["__number"].to_numpy() if n.clusters.modulus else None
-                    b[f"__s{n.number}"] = n.clusters.labels(np.concatenate([f[c] for c in n.columns], axis=1), numbers).astype("int32")
+                    b[f"__s{n.number}"] = n.clusters.labels(np.concatenate([f[c] for c in n.columns], axis=1)).astype("int32")
                 yield b
 
         labels = [T.StructField(f"__s{n.number}", T.IntegerType()) for n in learnt]
-        schema = T.StructType([*df.schema.fields, T.StructField("__number", T.LongType()), *labels])
-        out = df.withColumn("__number", F.xxhash64(*df.columns).bitwiseAND(F.lit(0x7FFFFFFF)))
-        df = out.mapInPandas(label, schema).drop("__number")
+        df = df.mapInPandas(label, T.StructType([*df.schema.fields, *labels]))
 
     def place(node: Node, column: str) -> Column:
         """The leaf of ``column`` for a row that reaches this node."""
@@ -180,7 +182,11 @@ def assigned(df: DataFrame, tree: Node, features: dict[str, dependence.ColumnFea
 
 @dataclass
 class TableModel:
-    """A tree with its assigned rows: gives the sketch of a relation under filters."""
+    """A tree with its assigned rows: gives the sketch of a relation under filters.
+
+    ``scale_degree`` False leaves degrees as they are where filters let anything through,
+    so that a scaled model still bounds from above.
+    """
 
     table: Table
     tree: Node
@@ -191,17 +197,25 @@ class TableModel:
     depth: int = 5
     width: int = 1000
     pessimistic: bool = False
+    scale_degree: bool = True
+    #: What the leaves hold, by what it is made of.
+    kept: dict[tuple, Any] = field(default_factory=dict)
+
+    def _kept(self, name: tuple, make: Callable[[], Any]) -> Any:
+        if name not in self.kept:
+            self.kept[name] = make()
+        return self.kept[name]
 
     @staticmethod
-    def build(df: DataFrame, table: Table, tree: Node, features=None, method: str = "exact", family: HashFamily | None = None, depth: int = 5, width: int = 1000, pessimistic: bool = False, rows: DataFrame | None = None) -> TableModel:
+    def build(df: DataFrame, table: Table, tree: Node, features=None, method: str = "exact", family: HashFamily | None = None, depth: int = 5, width: int = 1000, pessimistic: bool = False, rows: DataFrame | None = None, scale_degree: bool = True) -> TableModel:
         """``method``: how filter columns are estimated: 'exact', 'count-min' or 'count-sketch'; ``rows``: the table with its leaves, if it is kept somewhere."""
         tree.numbered() if tree.number < 0 else None
         if rows is None:
-            rows = materialised(assigned(df.select(*tree.columns), tree, features), "model")
+            rows = materialised(assigned(df.select(*tree.columns), tree, features), "model", True)
         leaves = [c for c in rows.columns if c.startswith("leaf_")]
         counts = rows.select(F.explode(F.array(*[F.col(f"`{c}`") for c in leaves])).alias("leaf")).groupBy("leaf").agg(F.count(F.lit(1)).alias("n"))
         sizes = {r.leaf: r.n for r in counts.collect()}  # one row for each leaf of the tree
-        model = TableModel(table, tree, rows, sizes, method, family or HashFamily(), depth, width, pessimistic)
+        model = TableModel(table, tree, rows, sizes, method, family or HashFamily(), depth, width, pessimistic, scale_degree)
 
         def fill(node: Node) -> int:
             below = [fill(c) for c in node.children]
@@ -225,22 +239,26 @@ class TableModel:
 
     def _column(self, column: str, ps: tuple[Predicate, ...]) -> dict[int, float]:
         spec = self.table.columns[column]
-        leaf = f"leaf_{column}"
+        leaf, name = F.col(f"`leaf_{column}`").alias("leaf"), f"`{column}`"
         leaves = [n.number for n in self.tree.walk() if n.kind == "leaf" and n.columns == (column,)]
-        ranged = all(p.op not in ("LIKE", "IN") for p in ps)
-        if self.method == "exact" or spec.kind == "string" or not ranged or not spec.intervals:
-            hit = F.when(F.expr(conjunction(ps, {column: spec.kind})), 1).otherwise(0)
-            found = self.rows.groupBy(F.col(leaf).alias("leaf")).agg((F.sum(hit) / F.count(F.lit(1))).alias("p"))
-            return {r.leaf: float(r.p) for r in found.collect()}
-        e = F.expr(encoded(f"`{column}`", spec.kind))
-        domain = self.rows.agg(F.min(e).alias("low"), F.max(e).alias("high")).first()
-        span = None if domain.low is None else integer_range(ps, spec.kind, domain.low, domain.high)
+        if self.method == "exact" or spec.kind == "string" or not spec.intervals or any(p.op in UNRANGED for p in ps):
+            values = self._kept((column, "values"), lambda: materialised(self.rows.groupBy(leaf, F.col(name)).agg(F.count(F.lit(1)).alias("#")), "model-values", True))
+            hit = F.when(F.expr(conjunction(ps, {column: spec.kind})), F.col("#")).otherwise(0)
+            return {r.leaf: float(r.p) for r in values.groupBy("leaf").agg((F.sum(hit) / F.sum("#")).alias("p")).collect()}
+        signed, width = self.method == "count-sketch", selectivity.sketch_width(self.width)
+
+        def sketched() -> tuple:
+            e = F.expr(encoded(name, spec.kind))
+            domain = self.rows.agg(F.min(e).alias("low"), F.max(e).alias("high")).first()
+            cells = selectivity.interval_cells(self.rows.withColumn("leaf", leaf), column, spec.kind, spec.intervals, self.family, self.depth, width, signed, ["leaf"])
+            return domain.low, domain.high, materialised(cells, "model-cells", True)
+
+        low, high, cells = self._kept((column, signed), sketched)
+        span = None if low is None else integer_range(ps, spec.kind, low, high)
         if span is None:
             return dict.fromkeys(leaves, 0.0)
-        signed, width = self.method == "count-sketch", selectivity.sketch_width(self.width)
-        built = selectivity.interval_cells(self.rows.withColumn("leaf", F.col(leaf)), column, spec.kind, spec.intervals, self.family, self.depth, width, signed, ["leaf"])
-        cover = selectivity.cover_rows(self.rows.sparkSession, span[0], span[1], spec.intervals)
-        hits = {r.leaf: r.hits for r in selectivity.probe_cells(built, cover, self.depth, width, self.family, signed, ["leaf"]).collect()}
+        cover = selectivity.cover_rows(cells.sparkSession, span[0], span[1], spec.intervals)
+        hits = {r.leaf: r.hits for r in selectivity.probe_cells(cells, cover, self.depth, width, self.family, signed, ["leaf"]).collect()}
         return {n: min(1.0, max(0.0, (hits.get(n) or 0.0) / max(1, self.sizes.get(n, 0)))) for n in leaves}
 
     def coefficients(self, probabilities: dict[int, float]) -> tuple[dict[int, float], float]:
@@ -265,17 +283,25 @@ class TableModel:
 
         return infer(self.tree)
 
+    def leaf_sketch(self, keys: tuple[KeyUse, ...], method: str = "count-sketch", on_keys: tuple[Predicate, ...] = ()) -> DataFrame:
+        """(leaf, row, bin, v): the join sketch of each key leaf; kept, unless keys are filtered."""
+
+        def build() -> DataFrame:
+            kinds = {c: s.kind for c, s in self.table.columns.items()}
+            rows = self.rows.where(F.expr(conjunction(on_keys, kinds))).withColumn("leaf", F.col(f"`leaf_{KEYS}`"))
+            return sketches.sketch(rows, keys, self.family, method, self.depth, self.width, by=["leaf"])
+
+        return build() if on_keys else self._kept((keys, method), lambda: materialised(build(), "model-sketch", True))
+
     def relation(self, keys: tuple[KeyUse, ...], predicates: tuple[Predicate, ...] = (), method: str = "count-sketch") -> DataFrame:
-        """(row, bin, v) of the relation under its filters: one aggregation by leaf, one by cell."""
+        """(row, bin, v) of the relation under its filters: the key leaves' sketches, each times its coefficient."""
         factors, _ = self.coefficients(self.probabilities(predicates))
         own = {c for n in self.tree.walk() if n.kind == "keys" for c in n.columns}
-        on_keys = tuple(p for p in predicates if p.column in own)
-        kinds = {c: s.kind for c, s in self.table.columns.items()}
-        rows = self.rows.where(F.expr(conjunction(on_keys, kinds))).withColumn("leaf", F.col(f"`leaf_{KEYS}`"))
-        built = sketches.sketch(rows, keys, self.family, method, self.depth, self.width, by=["leaf"])
+        built = self.leaf_sketch(keys, method, tuple(p for p in predicates if p.column in own))
+        as_it_is = method == "bound-sketch" and not self.scale_degree
         scale = F.lit(0.0)
         for number, factor in factors.items():  # a handful: the tree's key leaves
-            scale = F.when(F.col("leaf") == number, F.lit(float(factor))).otherwise(scale)
+            scale = F.when(F.col("leaf") == number, F.lit(float(factor > 0) if as_it_is else float(factor))).otherwise(scale)
         return built.select("row", "bin", (F.col("v") * scale).alias("v")).groupBy("row", "bin").agg(F.sum("v").alias("v"))
 
     def selectivity(self, predicates: tuple[Predicate, ...]) -> float:

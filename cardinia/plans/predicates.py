@@ -8,6 +8,10 @@ from cardinia.functions.hashing import DUCKDB, SPARK
 from cardinia.plans.query import Predicate
 
 
+#: Operators that are no ranges.
+UNRANGED = ("LIKE", "NOT LIKE", "IN")
+
+
 def micros(text: str) -> int:
     at = datetime.fromisoformat(text.strip())
     at = at.replace(tzinfo=timezone.utc) if at.tzinfo is None else at
@@ -36,11 +40,16 @@ def literal(value: str, kind: str, dialect: str = SPARK) -> str:
     return _quoted(value, dialect)
 
 
-def condition(p: Predicate, kind: str, dialect: str = SPARK, column: str | None = None) -> str:
+def name_of(column: str, dialect: str = SPARK) -> str:
+    """A column's name, quoted: it may be a reserved word or hold blanks."""
+    return "`" + column.replace("`", "``") + "`" if dialect == SPARK else '"' + column.replace('"', '""') + '"'
+
+
+def condition(p: Predicate, kind: str, dialect: str = SPARK) -> str:
     """SQL for one predicate; LIKE ignores case, as the estimators do."""
-    name = column or p.column
-    if p.op == "LIKE":
-        return f"{name} ILIKE {_quoted(like_pattern(str(p.value)), dialect)} ESCAPE {_quoted(chr(92), dialect)}"
+    name = name_of(p.column, dialect)
+    if p.op in ("LIKE", "NOT LIKE"):
+        return f"{name} {p.op.replace('LIKE', 'ILIKE')} {_quoted(like_pattern(str(p.value)), dialect)} ESCAPE {_quoted(chr(92), dialect)}"
     if p.op == "IN":
         return f"{name} IN ({', '.join(literal(v, kind, dialect) for v in p.value)})"
     return f"{name} {p.op} {literal(str(p.value), kind, dialect)}"
@@ -58,7 +67,7 @@ def integer_range(ps: tuple[Predicate, ...], kind: str, low: int, high: int, poi
     """
     left, right, out = low, high, []
     for p in ps:
-        if p.op in ("LIKE", "IN"):
+        if p.op in UNRANGED:
             raise NotImplementedError(f"{p.op} has no range")
         text = str(p.value)
         number = micros(text) if kind == "timestamp" else float(text)

@@ -16,7 +16,7 @@ _LEX = re.compile(
     """,
     re.X,
 )
-OPERATORS = ("=", "<>", "<", "<=", ">", ">=", "LIKE", "IN")
+OPERATORS = ("=", "<>", "<", "<=", ">", ">=", "LIKE", "NOT LIKE", "IN")
 
 
 @dataclass(frozen=True)
@@ -90,9 +90,9 @@ class Query:
 
     @staticmethod
     def parse(sql: str) -> Query:
-        """Accepts aliases with or without AS (mandatory), =, <>, !=, <, <=, >, >=, LIKE, IN and BETWEEN.
+        """Accepts aliases with or without AS (mandatory), =, <>, !=, <, <=, >, >=, LIKE, NOT LIKE, IN and BETWEEN.
 
-        Raises NotImplementedError for OR, NOT and a literal on the left, ValueError for
+        Raises NotImplementedError for OR, any other NOT and a literal on the left, ValueError for
         other malformed text and for joins that are not equalities of columns.
         """
         t = _Tokens(sql)
@@ -217,7 +217,9 @@ def _condition(t: _Tokens, tables: dict[str, str], joins: list[Join], filters: d
             raise ValueError("the list of IN is not closed")
         add("IN", tuple(v for v, _ in values), values[0][1])
     elif t.word("NOT"):
-        raise NotImplementedError("NOT")
+        if not t.word("LIKE"):
+            raise NotImplementedError("of NOT only NOT LIKE")
+        add("NOT LIKE", *literal())
     else:
         kind, op = t.next()
         if kind != "op":

@@ -40,8 +40,8 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
-def materialised(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written as a table in the shared folder and read again.
+def materialised(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
+    """``df`` written as a table in the shared folder and read again; ``lasting`` ones outlive any scope.
 
     This cuts the lineage: a lost executor costs only the reading of a file.
     """
@@ -50,7 +50,7 @@ def materialised(df: DataFrame, name: str) -> DataFrame:
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
-    if _scopes.get():
+    if _scopes.get() and not lasting:
         _scopes.get()[-1].append(out)
     return out
 

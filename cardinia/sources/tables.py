@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,10 +29,11 @@ def read_csv(spark: SparkSession, path: str, table: Table) -> DataFrame:
         header = reader.option("header", True).csv(path).columns  # names only
         reader = reader.option("header", True).option("enforceSchema", True)
     raw = reader.schema(_schema(table, header)).csv(path)
-    return raw.select(*[_typed(c, spec.kind) for c, spec in table.columns.items()])
+    return raw.select(*[typed(c, spec.kind) for c, spec in table.columns.items()])
 
 
-def _typed(name: str, kind: str) -> F.Column:
+def typed(name: str, kind: str) -> Column:
+    """A column read as text, in its kind; timestamps that cannot be read are NULL."""
     return F.expr(f"TRY_CAST(try_to_timestamp(`{name}`) AS TIMESTAMP_NTZ)").alias(name) if kind == "timestamp" else F.col(name)
 
 

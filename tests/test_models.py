@@ -1,12 +1,14 @@
 """Dependence, clustering, sum-product models and hybrid estimators."""
 
+import os
+
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from cardinia.catalogue import CHAIN, FAMILY, RETAIL, TWO_WAY, engine, key
-from cardinia.operators import clustering, dependence, evaluation, hybrid, sketches, spn
+from cardinia.operators import clustering, dependence, evaluation, hybrid, selectivity, sketches, spn
 from cardinia.plans.dataset import CONTINUOUS, DATASETS, Column, Table
 from cardinia.plans.query import Query
 from tests.oracle import SMALL
@@ -48,7 +50,9 @@ def test_clusters(how):
     _, labels = clustering.split(x, 2, how)
     assert len(set(labels[:100])) == len(set(labels[100:])) == 1 and labels[0] != labels[-1]
     _, labels = clustering.split(np.zeros((10, 2)), 2, how)
-    assert set(labels) == {0, 1}
+    assert set(labels) == {0}  # nothing to cut by
+    cut = clustering.median_cut(np.array([[0.0, 5.0], [0.0, 9.0], [0.0, 9.0], [0.1, 9.0]]))
+    assert cut.labels(np.array([[0.0, 5.0], [0.0, 9.0]])).tolist() == [0, 1]
 
 
 def test_keys_stay_together():
@@ -113,12 +117,81 @@ def test_engine_with_models(spark):
     assert list(report.alias) == ["l", "o"] and (report.l1 >= 0).all()
 
 
+def test_a_models_leaves_are_sketched_once(spark):
+    """A second query on the same keys, with other filters, reads no row of the table again."""
+    df = spark.createDataFrame(toy())
+    for method in ("exact", "count-min"):
+        model = spn.TableModel.build(df, TOY, spn.independent(list(TOY.columns), TOY.keys), None, method, FAMILY, 3, 64)
+        first, second = (Query.parse(f"SELECT COUNT(*) FROM toy t WHERE t.a > {n} AND t.c = '{c}'").filters["t"] for n, c in ((10, "x"), (40, "y")))
+        model.relation((key("k"),), first).count()
+        wanted = model.relation((key("k"),), second).toPandas().sort_values(["row", "bin"])
+        model.rows = None
+        again = model.relation((key("k"),), second).toPandas().sort_values(["row", "bin"])
+        assert (wanted.v.to_numpy() == again.v.to_numpy()).all()
+
+
+def test_degrees_may_stay_unscaled(spark):
+    df = spark.createDataFrame(toy())
+    q = Query.parse("SELECT COUNT(*) FROM toy t WHERE t.a > 40")
+    tree = spn.independent(list(TOY.columns), TOY.keys)
+    whole, scaled = (spn.TableModel.build(df, TOY, tree, None, "exact", FAMILY, 3, 64, scale_degree=s).relation((key("k"),), q.filters["t"], "bound-sketch").agg({"v": "sum"}).first()[0] for s in (False, True))
+    share = (toy().a > 40).mean()
+    assert scaled == pytest.approx(whole * share)
+
+
+def test_the_cache_knows_settings_and_rows(spark, tmp_path):
+    def leaves(**how):
+        e = engine(spark, SMALL, mode="model", cache_dir=str(tmp_path), **how)
+        e.model("customer")
+        return e
+
+    leaves()
+    one = set(os.listdir(tmp_path))
+    leaves()
+    assert set(os.listdir(tmp_path)) == one and len(one) == 1
+    leaves(k=3, rdc_threshold=-1.0)
+    assert len(os.listdir(tmp_path)) == 2
+    e = engine(spark, SMALL, mode="model", cache_dir=str(tmp_path))
+    e.tables["customer"] = e.tables["customer"].withColumn("c_acctbal", F.col("c_acctbal") + 1)  # as many rows, but others
+    e.model("customer")
+    assert len(os.listdir(tmp_path)) == 3
+
+
+def test_whole_tables_give_the_dependence_matrix(spark):
+    data = toy()
+    found = {(r.col_i, r.col_j): r.rdc for r in dependence.rdc_rows(spark.createDataFrame(data).repartition(3), TOY, ["k", "a", "b", "c"]).collect()}
+    assert found["a", "b"] > 0.8 > 0.35 > max(found["a", "c"], found["b", "c"], found["k", "c"])
+    features, having = dependence.table_features(spark.createDataFrame(data), TOY, ["a", "c"], k=3)
+    assert having == ["a", "c"] and features.count() == len(data)
+    ranks = data.a.rank(method="max") / len(data)
+    want = np.sort(np.sin(ranks * dependence.rank_weights("a", 3)[0]))
+    assert np.allclose(np.sort(features.toPandas()["a_0"]), want)
+    assert dependence.rdc_rows(spark.createDataFrame(data.head(0), "k long, a double, b double, c string"), TOY, ["a", "c"]).first().rdc == 0
+
+
+def test_negated_points_are_subtracted(spark):
+    df = spark.createDataFrame(pd.DataFrame({"x": [1, 2, 3, 4, 5, 6, 7, 8] * 25}))
+    built = selectivity.interval_sketch(df, "x", "int", (1, 2, 4), FAMILY, 5, 1000)
+    ps = Query.parse("SELECT COUNT(*) FROM t WHERE t.x > 2 AND t.x <> 5 AND t.x <> 5".replace("FROM t ", "FROM t t ")).filters["t"]
+    assert selectivity.sketched_selectivity(built, ps, spark).first()[0] == pytest.approx(0.75)
+    assert selectivity.sketched_selectivity(built, ps, spark, True).first()[0] == pytest.approx(0.625)
+
+
+@pytest.mark.parametrize(("left", "right", "sizes"), [(3, 1000, (1, 2, 4, 8, 16)), (7, 7, (5, 10)), (0, 0, (1,)), (-13, 29, (1, 4, 8)), (10**9, 5 * 10**9, (60, 300, 600)), (5, 10**12, (1,)), (8, 31, (1, 2, 4, 8, 16, 32))])
+def test_covers_reach_every_point_once(left, right, sizes):
+    cover = selectivity.interval_cover(left, right, sizes)
+    spans = [(s * a, s * (b + 1)) for s, a, b in cover]
+    assert spans[0][0] == left // sizes[0] * sizes[0] and right < spans[-1][1] <= right + sizes[0]
+    assert all(x[1] == y[0] for x, y in zip(spans, spans[1:], strict=False))
+    assert all(a <= b and (s == sizes[0] or s * a >= left) for s, a, b in cover)
+
+
 def test_evaluate_and_report(spark):
     results = engine(spark, SMALL).evaluate([(TWO_WAY, None), (CHAIN, 10.0)])
     assert results.where("q_error < 1").count() == 0
     slices = {r.slice: r["count"] for r in evaluation.q_error_slices(results).collect()}
     assert slices == {"all": 2, "range": 2, "transitive": 1, "non-transitive": 1, "tables=2": 1, "tables=3": 1}
-    assert evaluation.totals(results, ["inference_s"]).first().queries == 2
+    assert evaluation.totals(results, ["sketching_s", "inference_s", "estimation_s"]).first().queries == 2
 
 
 def test_hybrid_algebra(spark):

@@ -59,7 +59,8 @@ def test_command_line(spark, tmp_path, capsys):
     assert spark.read.option("header", True).csv(str(tmp_path / "out")).count() == 1
     for _ in range(2):  # learns, then finds what it kept
         cli.run(spark, [*arguments[:-1], "--pickle", str(tmp_path / "kept"), "--pessimistic"])
-    assert spark.read.parquet(str(tmp_path / "kept" / "orders")).count() == spark.read.parquet(f"{SMALL}/orders.parquet").count()
+    (kept,) = (tmp_path / "kept").glob("orders-*")
+    assert spark.read.parquet(str(kept)).count() == spark.read.parquet(f"{SMALL}/orders.parquet").count()
     cli.run(spark, [*arguments, "--find_keys"])
     assert "l_orderkey" in capsys.readouterr().out
     with pytest.raises(SystemExit):
