@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -27,7 +29,7 @@ def rows_of(n, d=8, seed=0):
     return [(int(i), [float(x) for x in rng.normal(0, 0.3, d)], 1, 5, "v", 2) for i in range(n)]
 
 
-@pytest.mark.parametrize("how", [{}, {"block": 40, "query_block": 3}, {"bits": 1}, {"bits": 12}])
+@pytest.mark.parametrize("how", [{}, {"block": 40, "group_bytes": 400}, {"bits": 1}, {"bits": 12}])
 def test_against_brute_force(spark, how):
     rows = rows_of(400)
     rows += [(1000 + i, rows[7][1], None, None, None, None) for i in range(60)]  # one very common vector: ties
@@ -54,26 +56,39 @@ def test_large_components(spark):
 def test_bounds_hold(seed, bits, n, d):
     rng = np.random.default_rng(seed)
     vectors = np.floor(rng.normal(0, 200, (n, d)))
-    file = vector_search.ApproximationFile(np.arange(n), vectors, bits)
+    file = vector_search.ApproximationFile.of(vectors, bits)
     q = np.floor(rng.normal(0, 200, (3, d)))
     low, slack = file.bounds(q)
     exact = q @ vectors.T
     assert (low <= exact).all() and (exact <= low + slack[:, None]).all()
-    best = file.search(q[0], low[0], float(slack[0]), -1, 3)
-    assert best == sorted(((int(s), i) for i, s in enumerate(exact[0])), key=lambda x: (-x[0], x[1]))[:3]
-
-
-def test_few_exact_vectors_are_read():
-    rng = np.random.default_rng(1)
-    vectors = np.floor(256 * rng.normal(0, 0.125, (4000, 16)))
-    file = vector_search.ApproximationFile(np.arange(4000), vectors)
-    read = []
-    exact = file.exact
-    file.exact = lambda q, rows: (read.append(len(rows)), exact(q, rows))[1]
-    q = vectors[:1]
-    low, slack = file.bounds(q)
-    file.search(q[0], low[0], float(slack[0]), 0, 5)
-    assert sum(read) < 400
+
+
+def test_few_exact_vectors_are_read(spark):
+    """Of 4,000 candidates for each of 80 queries."""
+    rows = rows_of(4000, 16)
+    found = vector_search.found_by_tasks(spark.createDataFrame(rows, SCHEMA).repartition(4), "vec_id", "embedding").agg({"reads": "sum"}).first()[0]
+    assert 80 * 5 <= found < 80 * 300
+
+
+def test_equal_rows_and_equal_vectors_do_not_pile_up(spark):
+    """A third of all rows repeat one row, another third share its vector: neither makes a large block."""
+    rows = rows_of(300)
+    rows += [rows[100]] * 300 + [(10_000 + i, rows[100][1], *[None] * 4) for i in range(300)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(6)
+    assert result(df) == brute(rows)
+    few = vector_search.candidates(df.selectExpr("vec_id AS id", "embedding AS v"), 5)
+    assert few.count() == 300 and few.selectExpr("max(size(ids))").first()[0] == 6
+
+
+def test_only_queries_and_scores_move(spark):
+    """After the candidates are written, no exact vector goes through a shuffle: the searching plan has none."""
+    files = vector_search.approximated(vector_search.candidates(spark.createDataFrame(rows_of(200), SCHEMA).selectExpr("vec_id AS id", "embedding AS v"), 5))
+    context = spark.sparkContext
+    sent, least = context.broadcast(vector_search._Queries([], 256)), context.broadcast(np.zeros(0))
+    plan = vector_search.searched(files, sent, least, 5)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    cells = vector_search.least_scores(files, sent, 5)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"[\[, ]x#", cells) and re.search(r"[\[, ]cells#", cells)
 
 
 def test_sql(spark):
