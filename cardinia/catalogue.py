@@ -1,11 +1,13 @@
 """The registered queries of the engine, each with the SQL that gives the same rows.
 
-Every query reads whole tables of the star schema. Wide sketches are the engine's
-default; here they are narrow where a SQL engine has to follow a correlation cell by cell.
+Every query on tables reads them whole; those of the parser and of interval covers have
+none to read. Wide sketches are the engine's default; here they are narrow where a SQL
+engine has to follow a correlation cell by cell.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +21,7 @@ from cardinia.plans.dataset import POWER_INTERVALS, TIME_INTERVALS, YEAR_INTERVA
 from cardinia.plans.predicates import conjunction
 from cardinia.plans.query import Query, workload_columns
 from cardinia.sources import tables as sources
+from cardinia.sources.scratch import scratch_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -83,6 +86,7 @@ def _filtered(name: str, sql: str, columns: tuple[str, ...]) -> None:
 
 _filtered("filter_conjunctive", "SELECT * FROM lineitem l WHERE l.l_quantity > 30 AND l.l_returnflag = 'R' AND l.l_linenumber <> 2", ("l_orderkey", "l_linenumber", "l_quantity"))
 _filtered("filter_like", "SELECT * FROM part p WHERE p.p_name LIKE 'R?D %'", ("p_partkey", "p_name"))
+_filtered("filter_not_like", "SELECT * FROM part p WHERE p.p_name NOT LIKE 'R?D %' AND p.p_type NOT LIKE '%e'", ("p_partkey", "p_name"))
 _filtered("filter_range_ts", "SELECT * FROM orders o WHERE o.o_orderdate BETWEEN '1995-01-01'::timestamp AND '1996-06-30 12:00:00'::timestamp", ("o_orderkey", "o_orderdate"))
 _filtered("filter_in_list", "SELECT * FROM orders o WHERE o.o_orderpriority IN ('1-URGENT', '2-HIGH') AND o.o_totalprice >= 1000.5", ("o_orderkey", "o_orderpriority"))
 
@@ -90,7 +94,32 @@ _filtered("filter_in_list", "SELECT * FROM orders o WHERE o.o_orderpriority IN (
 @registered("coerce_timestamps", "SELECT o_orderkey, TRY_CAST(CASE WHEN o_orderkey % 7 = 0 THEN 'broken' ELSE CAST(o_orderdate AS VARCHAR) END AS TIMESTAMP) AS at FROM orders")
 def coerce_timestamps(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.expr("CASE WHEN o_orderkey % 7 = 0 THEN 'broken' ELSE CAST(o_orderdate AS STRING) END")
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.try_to_timestamp(text).cast("timestamp_ntz").alias("at"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", text.alias("at")).select("o_orderkey", sources.typed("at", "timestamp"))
+
+
+@registered("scan_csv_orders", "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority FROM orders")
+def scan_csv_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table as a CSV file with a header, and back."""
+    path = f"{scratch_dir(spark)}/orders-{uuid.uuid4().hex}.csv"
+    table(spark, sf_dir, "orders").write.option("header", True).option("escape", "\\").option("timestampNTZFormat", "yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+    return sources.read_csv(spark, path, RETAIL.tables["orders"])
+
+
+@registered("scan_workload", " UNION ALL ".join(f"SELECT '{{}}' AS query, CAST({i} AS BIGINT) AS parent, {i}.5 AS cardinality".replace("{}", q.replace("'", "''")) for i, q in enumerate(WORKLOAD)))
+def scan_workload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A workload file of the queries above."""
+    path = f"{scratch_dir(spark)}/workload-{uuid.uuid4().hex}"
+    spark.createDataFrame([(f"{q}||{i}||{i}.5",) for i, q in enumerate(WORKLOAD)], "value string").write.text(path)
+    return sources.read_workload(spark, path)
+
+
+@registered("cached_counts", "SELECT o_orderpriority, count(*) AS count FROM orders GROUP BY ALL")
+def cached_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Built and kept at the first call, read at the second."""
+    path = f"{scratch_dir(spark)}/cached-{uuid.uuid4().hex}"
+    for _ in range(2):
+        found = sources.cached(spark, path, lambda: sketches.distinct_rows(table(spark, sf_dir, "orders"), ["o_orderpriority"]))
+    return found
 
 
 @registered("describe_lineitem", " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count({c}) AS count, round(avg({c}), 6) AS mean, min({c}) AS min, quantile_cont({c}, 0.25) AS q25, quantile_cont({c}, 0.5) AS q50, quantile_cont({c}, 0.75) AS q75, max({c}) AS max FROM lineitem" for c in ("l_quantity", "l_extendedprice")))
@@ -252,6 +281,12 @@ _estimate("est_same_sign", TRANSITIVE, "same-sign")
 _estimate("est_zero_result", NOTHING, "count-sketch")
 
 
+@registered("est_single_table", "SELECT CAST(count(*) AS DOUBLE) AS estimate FROM lineitem WHERE l_quantity > 30 AND l_returnflag = 'R'")
+def est_single_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without a join key there is nothing to sketch: the count by selectivity."""
+    return engine(spark, sf_dir).estimate("SELECT COUNT(*) FROM lineitem l WHERE l.l_quantity > 30 AND l.l_returnflag = 'R'")
+
+
 def _correlation(name: str, how: contraction.Correlation) -> None:
     q = Query.parse(CHAIN)
     a, b = (oracle.relation_sql(q, RETAIL, x, FAMILY, "count-sketch", DEPTH, NARROW) for x in ("o", "c"))
@@ -298,24 +333,33 @@ _exact("sel_exact_range", "SELECT * FROM lineitem l WHERE l.l_quantity >= 10 AND
 _exact("sel_exact_like", "SELECT * FROM part p WHERE p.p_type LIKE 'p%'")
 
 
-def _sketched(name: str, sql: str, base: str, column: str, sizes: tuple[int, ...], span: tuple[int, int], signed: bool) -> None:
-    """``span``: the range that the filter means on this table's domain, for the SQL."""
+def _sketched(name: str, sql: str, base: str, column: str, sizes: tuple[int, ...], span: tuple[int, int], signed: bool, without: int | None = None) -> None:
+    """``span``: the range that the filter means on this table's domain, and the point ``without`` which, for the SQL."""
     q = Query.parse(sql)
     ((alias, _),) = q.tables
     spec = RETAIL.column(base, column)
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         built = selectivity.interval_sketch(table(spark, sf_dir, base), column, spec.kind, sizes, FAMILY, DEPTH, 1000, signed)
-        return selectivity.sketched_selectivity(built, q.filters[alias], spark).select(F.round("selectivity", 9).alias("selectivity"))
+        return selectivity.sketched_selectivity(built, q.filters[alias], spark, without is not None).select(F.round("selectivity", 9).alias("selectivity"))
 
     cells = oracle.interval_sql(base, column, spec.kind, sizes, FAMILY, DEPTH, 1000, signed)
-    registered(name, oracle.probe_sql(cells, selectivity.interval_cover(*span, sizes), FAMILY, DEPTH, 1000, signed, base))(run)
+    point = None if without is None else oracle.cover_sql(without, without, sizes)
+    registered(name, oracle.probe_sql(cells, oracle.cover_sql(*span, sizes), FAMILY, DEPTH, 1000, signed, base, point))(run)
 
 
 _sketched("sel_countmin_point", "SELECT * FROM part p WHERE p.p_size = 15", "part", "p_size", YEAR_INTERVALS, (15, 15), False)
 _sketched("sel_countmin_range", "SELECT * FROM part p WHERE p.p_size >= 7 AND p.p_size < 40", "part", "p_size", YEAR_INTERVALS, (7, 39), False)
 _sketched("sel_countsketch_range", "SELECT * FROM part p WHERE p.p_size > 7 AND p.p_size <= 40", "part", "p_size", YEAR_INTERVALS, (8, 40), True)
-_sketched("sel_countmin_time", "SELECT * FROM orders o WHERE o.o_orderdate >= '1995-01-01'::timestamp AND o.o_orderdate < '1995-03-01'::timestamp", "orders", "o_orderdate", TIME_INTERVALS, (788918400000000, 794015999999999), False)
+_sketched("sel_countmin_not_equal", "SELECT * FROM part p WHERE p.p_size > 7 AND p.p_size <= 40 AND p.p_size <> 20", "part", "p_size", YEAR_INTERVALS, (8, 40), False, 20)
+_TIME_SPAN = (788918400000000, 794015999999999)
+_sketched("sel_countmin_time", "SELECT * FROM orders o WHERE o.o_orderdate >= '1995-01-01'::timestamp AND o.o_orderdate < '1995-03-01'::timestamp", "orders", "o_orderdate", TIME_INTERVALS, _TIME_SPAN, False)
+
+
+@registered("interval_cover_time", f"SELECT size, bucket FROM {oracle.cover_sql(_TIME_SPAN[0] + 7, _TIME_SPAN[1], TIME_INTERVALS)}")
+def interval_cover_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The intervals of a span of two months that begins within a minute."""
+    return selectivity.cover_rows(spark, _TIME_SPAN[0] + 7, _TIME_SPAN[1], TIME_INTERVALS)
 
 
 @registered("interval_cover", "SELECT range AS point, 1 AS times FROM range(3, 1001)")
@@ -362,8 +406,8 @@ _MODEL_SQL = "SELECT COUNT(*) FROM lineitem l, orders o WHERE l.l_orderkey = o.o
 _L_KEY = (key("l_orderkey"),)
 
 
-def _model(spark: SparkSession, sf_dir: str, tree: spn.Node, **how) -> spn.TableModel:
-    return spn.TableModel.build(table(spark, sf_dir, "lineitem"), RETAIL.tables["lineitem"], tree, None, "exact", FAMILY, DEPTH, WIDTH, **how)
+def _model(spark: SparkSession, sf_dir: str, tree: spn.Node, leaves: str = "exact", **how) -> spn.TableModel:
+    return spn.TableModel.build(table(spark, sf_dir, "lineitem"), RETAIL.tables["lineitem"], tree, None, leaves, FAMILY, DEPTH, WIDTH, **how)
 
 
 def _share(where: str, among: str = "TRUE") -> str:
@@ -386,6 +430,49 @@ _independence("spn_independence_sketch", False)
 _independence("spn_pessimistic_sketch", True)
 
 
+def _leaves(name: str, leaves: str) -> None:
+    """Filters on quantities by interval sketches of the leaf, whose width is that of the rule for join sketches of WIDTH."""
+    q = Query.parse(_MODEL_SQL)
+    signed, width = leaves == "count-sketch", selectivity.sketch_width(WIDTH)
+    cells = oracle.interval_sql("lineitem", "l_quantity", "double", YEAR_INTERVALS, FAMILY, DEPTH, width, signed)
+    # Quantities go from 1 to 50; a double above 30 may have the floor 30.
+    share = f"({oracle.probe_sql(cells, oracle.cover_sql(30, 50, YEAR_INTERVALS), FAMILY, DEPTH, width, signed, 'lineitem', digits=None)})"
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        model = _model(spark, sf_dir, spn.independent(_LINEITEM, ("l_orderkey",)), leaves)
+        return model.relation(_L_KEY, q.filters["l"]).select("row", "bin", F.round("v", 6).alias("v"))
+
+    together = f"({share} * {_share(chr(108) + '_returnflag = ' + repr('R'))})"
+    registered(name, f"SELECT row, bin, round(v * {together}, 6) AS v FROM {oracle.sketch_sql('lineitem', _L_KEY, FAMILY, 'count-sketch', DEPTH, WIDTH)}")(run)
+
+
+_leaves("spn_countmin_leaves", "count-min")
+_leaves("spn_countsketch_leaves", "count-sketch")
+
+
+def _degrees(name: str, scaled: bool) -> None:
+    """Degree sketches under a model, times the filters' probability or as they are."""
+    q = Query.parse(_MODEL_SQL)
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        model = _model(spark, sf_dir, spn.independent(_LINEITEM, ("l_orderkey",)), scale_degree=scaled)
+        return model.relation(_L_KEY, q.filters["l"], "bound-sketch").select("row", "bin", F.round("v", 6).alias("v"))
+
+    share = f"{_share('l_quantity > 30')} * {_share(chr(108) + '_returnflag = ' + repr('R'))}" if scaled else "1.0"
+    registered(name, f"SELECT row, bin, round(v * ({share}), 6) AS v FROM {oracle.sketch_sql('lineitem', _L_KEY, FAMILY, 'bound-sketch', DEPTH, WIDTH)}")(run)
+
+
+_degrees("spn_degree", True)
+_degrees("spn_degree_unscaled", False)
+
+
+@registered("spn_key_filter", f"SELECT row, bin, CAST(v AS DOUBLE) AS v FROM {oracle.sketch_sql('lineitem', _L_KEY, FAMILY, 'count-sketch', DEPTH, WIDTH, 'l_orderkey < 5000')}")
+def spn_key_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filters on a join key are taken on the rows themselves."""
+    q = Query.parse("SELECT COUNT(*) FROM lineitem l, orders o WHERE l.l_orderkey = o.o_orderkey AND l.l_orderkey < 5000")
+    return _model(spark, sf_dir, spn.independent(_LINEITEM, ("l_orderkey",))).relation(_L_KEY, q.filters["l"])
+
+
 def _two_clusters_sql() -> str:
     parts = []
     for cut in ("l_linenumber <= 3", "NOT l_linenumber <= 3"):
@@ -447,6 +534,25 @@ def rdc_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dependence.rdc_rows(table(spark, sf_dir, "lineitem"), RETAIL.tables["lineitem"], ["l_quantity", "l_extendedprice", "l_returnflag", "l_shipdate"])
 
 
+_RANKED = ["l_quantity", "l_extendedprice"]
+
+
+def _gram_sql(k: int = 3) -> str:
+    """Features by window functions; one sum for each pair."""
+    ranks = ", ".join(f"cume_dist() OVER (ORDER BY {c}) AS {c}" for c in _RANKED)
+    features = [f"sin({c} * {w!r})" for c in _RANKED for w in dependence.rank_weights(c, k)] + ["1.0"]
+    named = ", ".join(f"{f} AS f{i}" for i, f in enumerate(features))
+    sums = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, round(sum(f{i} * f{j}), 3) AS s FROM f" for i in range(len(features)) for j in range(len(features)))
+    return f"WITH r AS (SELECT {ranks} FROM lineitem), f AS (SELECT {named} FROM r) {sums}"
+
+
+@registered("rdc_gram", _gram_sql())
+def rdc_gram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the dependence of two columns is computed from: the sums of their features' products, over all rows."""
+    features, _ = dependence.table_features(table(spark, sf_dir, "lineitem"), RETAIL.tables["lineitem"], _RANKED, 3)
+    return dependence.gram(features).select("i", "j", F.round("s", 3).alias("s"))
+
+
 @registered("cluster_assign")
 def cluster_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of each leaf of a learnt model of orders."""
@@ -469,23 +575,34 @@ def true_cardinality_self(spark: SparkSession, sf_dir: str) -> DataFrame:
     return engine(spark, sf_dir).true_cardinality(SELF)
 
 
-def _error_sql(sql: str) -> str:
-    return f"SELECT estimate, cardinality, round(greatest(greatest(estimate, 1) / greatest(cardinality, 1), greatest(cardinality, 1) / greatest(estimate, 1)), 9) AS q_error FROM ({oracle.estimate_sql(sql, RETAIL, FAMILY, 'count-sketch', DEPTH, WIDTH)}), ({oracle.cardinality_sql(sql, RETAIL)})"
+def _error_sql(sql: str, width: int = WIDTH) -> str:
+    return f"SELECT estimate, cardinality, greatest(greatest(estimate, 1) / greatest(cardinality, 1), greatest(cardinality, 1) / greatest(estimate, 1)) AS q_error FROM ({oracle.estimate_sql(sql, RETAIL, FAMILY, 'count-sketch', DEPTH, width)}), ({oracle.cardinality_sql(sql, RETAIL)})"
 
 
-@registered("q_error", " UNION ALL ".join(_error_sql(s) for s in (TWO_WAY, TRANSITIVE)))
+@registered("q_error", " UNION ALL ".join(f"SELECT estimate, cardinality, round(q_error, 9) AS q_error FROM ({_error_sql(s)})" for s in (TWO_WAY, TRANSITIVE)))
 def q_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = engine(spark, sf_dir)
     return e.evaluate([(TWO_WAY, None), (TRANSITIVE, None)]).select("estimate", "cardinality", F.round("q_error", 9).alias("q_error"))
 
 
-_RESULTS = [(TWO_WAY, 100.0, 50.0), (STAR, 10.0, 40.0), (CHAIN, -5.0, 8.0), (TRANSITIVE, 7.0, 7.0), (SELF, 3.0, 0.0)]
+@registered("evaluation_totals", f"SELECT count(*) AS queries, round(sum(q), 6) AS total_q_error, round(avg(q), 6) AS mean_q_error FROM ({' UNION ALL '.join(f'SELECT q_error AS q FROM ({_error_sql(s)})' for s in (TWO_WAY, TRANSITIVE))})")
+def evaluation_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    results = engine(spark, sf_dir).evaluate([(TWO_WAY, None), (TRANSITIVE, None)])
+    return evaluation.totals(results, ["q_error"]).select("queries", F.round("total_q_error", 6).alias("total_q_error"), F.round("mean_q_error", 6).alias("mean_q_error"))
+
+
+def _slices_sql() -> str:
+    asked = [(s, Query.parse(s)) for s in (*WORKLOAD, SELF)]
+    rows = " UNION ALL ".join(f"SELECT q_error AS q, {len(x.tables)} AS n, {len(set(x.components.values()))} AS c, {'<' in s or '>' in s} AS ranged FROM ({_error_sql(s, NARROW)})" for s, x in asked)
+    labels = "['all', CASE WHEN ranged THEN 'range' ELSE 'equality' END, CASE WHEN c = 1 THEN 'transitive' ELSE 'non-transitive' END, 'tables=' || n]"
+    numbers = ", ".join(f"round({f}, 6) AS {n}" for f, n in (("avg(q)", "mean"), ("min(q)", "min"), ("quantile_cont(q, 0.25)", "q25"), ("quantile_cont(q, 0.5)", "q50"), ("quantile_cont(q, 0.75)", "q75"), ("max(q)", "max")))
+    return f"WITH s AS (SELECT unnest({labels}) AS slice, q FROM ({rows})) SELECT slice, count(*) AS count, {numbers} FROM s GROUP BY slice"
 
 
-@registered("q_error_slices", "WITH r(q, n, c, ranged) AS (VALUES (2.0::DOUBLE, 2, 1, true), (4.0, 3, 2, true), (8.0, 3, 2, true), (1.0, 3, 1, true), (3.0, 2, 1, false)), s AS (SELECT unnest(['all', CASE WHEN ranged THEN 'range' ELSE 'equality' END, CASE WHEN c = 1 THEN 'transitive' ELSE 'non-transitive' END, 'tables=' || n]) AS slice, q FROM r) SELECT slice, count(*) AS count, avg(q) AS mean, min(q) AS min, quantile_cont(q, 0.25) AS q25, quantile_cont(q, 0.5) AS q50, quantile_cont(q, 0.75) AS q75, max(q) AS max FROM s GROUP BY slice")
+@registered("q_error_slices", _slices_sql())
 def q_error_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
-    results = evaluation.query_features(spark.createDataFrame(_RESULTS, "query string, estimate double, cardinality double"))
-    return evaluation.q_error_slices(results.withColumn("q_error", evaluation.q_error(F.col("estimate"), F.col("cardinality"))))
+    found = evaluation.q_error_slices(engine(spark, sf_dir, width=NARROW).evaluate([(s, None) for s in (*WORKLOAD, SELF)]))
+    return found.select("slice", "count", *[F.round(c, 6).alias(c) for c in ("mean", "min", "q25", "q50", "q75", "max")])
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -127,14 +127,26 @@ def interval_sql(source: str, column: str, kind: str, sizes: tuple[int, ...], fa
     return f"(WITH base AS (SELECT size, {residue('bucket')} AS x, n FROM ({buckets})) SELECT CAST(size AS BIGINT) AS size, CAST(row AS INTEGER) AS row, CAST(bin AS INTEGER) AS bin, CAST(sum(w) AS BIGINT) AS v FROM ({' UNION ALL '.join(parts)}) GROUP BY ALL)"
 
 
-def probe_sql(cells: str, cover: list[tuple[int, int, int]], family: HashFamily, depth: int, width: int, signed: bool, source: str) -> str:
-    """selectivity of a cover."""
-    points = " UNION ALL ".join(f"SELECT {s} AS size, range AS bucket FROM range({a}, {b + 1})" for s, a, b in cover)
-    parts = [f"SELECT size, CAST({r} AS INTEGER) AS row, {family.bin('x', 0, r, width)} AS bin, {family.sign('x', 0, r) if signed else '1'} AS sign FROM asked" for r in range(depth)]
+def cover_sql(left: int, right: int, sizes: tuple[int, ...]) -> str:
+    """size, bucket: the greedy cover of [left, right] by aligned intervals, one step a row."""
+    step, stop = min(sizes), right + min(sizes)
+
+    def best(at: str) -> str:
+        return "greatest(" + ", ".join([str(step), *(f"CASE WHEN {at} >= {left} AND {at} % {s} = 0 AND {at} + {s} <= {stop} THEN {s} ELSE 0 END" for s in sizes)]) + ")"
+
+    first = f"CAST({left} // {step} * {step} AS BIGINT)"
+    return f"(WITH RECURSIVE cover(p, size) AS (SELECT {first}, CAST({best(first)} AS BIGINT) UNION ALL SELECT p + size, CAST({best('(p + size)')} AS BIGINT) FROM cover WHERE p + size <= {right}) SELECT size, p // size AS bucket FROM cover)"
+
+
+def probe_sql(cells: str, points: str, family: HashFamily, depth: int, width: int, signed: bool, source: str, without: str | None = None, digits: int | None = 9) -> str:
+    """selectivity of a cover, less that of another."""
+    parted = f"SELECT size, bucket, 1 AS part FROM {points}" + (f" UNION ALL SELECT size, bucket, -1 FROM {without}" if without else "")
+    parts = [f"SELECT part, size, CAST({r} AS INTEGER) AS row, {family.bin('x', 0, r, width)} AS bin, {family.sign('x', 0, r) if signed else '1'} AS sign FROM asked" for r in range(depth)]
     per_size = "quantile_cont(s, 0.5)" if signed else "min(s)"
+    share = f"greatest(0.0, least(1.0, sum(part * s) / (SELECT count(*) FROM {source})))"
     return (
-        f"WITH asked AS (SELECT size, {residue('bucket')} AS x FROM ({points})), probes AS ({' UNION ALL '.join(parts)}), "
-        f"sums AS (SELECT p.size, p.row, CAST(sum(p.sign * coalesce(c.v, 0)) AS DOUBLE) AS s FROM probes AS p LEFT JOIN {cells} AS c ON c.size = p.size AND c.row = p.row AND c.bin = p.bin GROUP BY ALL), "
-        f"sizes AS (SELECT size, {per_size} AS s FROM sums GROUP BY size) "
-        f"SELECT round(greatest(0.0, least(1.0, sum(s) / (SELECT count(*) FROM {source}))), 9) AS selectivity FROM sizes"
+        f"WITH asked AS (SELECT part, size, {residue('bucket')} AS x FROM ({parted})), probes AS ({' UNION ALL '.join(parts)}), "
+        f"sums AS (SELECT p.part, p.size, p.row, CAST(sum(p.sign * coalesce(c.v, 0)) AS DOUBLE) AS s FROM probes AS p LEFT JOIN {cells} AS c ON c.size = p.size AND c.row = p.row AND c.bin = p.bin GROUP BY ALL), "
+        f"sizes AS (SELECT part, size, {per_size} AS s FROM sums GROUP BY part, size) "
+        f"SELECT {share if digits is None else f'round({share}, {digits})'} AS selectivity FROM sizes"
     )
