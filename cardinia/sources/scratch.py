@@ -10,6 +10,8 @@ from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Spark's setting by which a query's shuffle files go when it ends, not when the driver happens to collect its garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: The only local folder, made where ``spark.checkpoint.dir`` is unset (single-machine tests).
 _own: list[str] = []
 #: The tables of the scopes that are open.
@@ -43,11 +45,20 @@ def scratch_dir(spark: SparkSession) -> str:
 def materialised(df: DataFrame, name: str, lasting: bool = False) -> DataFrame:
     """``df`` written as a table in the shared folder and read again; ``lasting`` ones outlive any scope.
 
-    This cuts the lineage: a lost executor costs only the reading of a file.
+    This cuts the lineage: a lost executor costs only the reading of a file. The shuffle
+    files that it took are deleted.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_at = path
     if _scopes.get() and not lasting:
