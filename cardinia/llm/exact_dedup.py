@@ -7,8 +7,10 @@ Three combining stages, each of which compares full content, never digests alone
    with a third of all rows is merged by many tasks;
 3. global: the few salt winners of a digest meet and give the class of the text.
 
-Rows then look up their class by digest, as often as they stand there. Should two different texts share a digest,
-the rows of that digest, and only they, are looked up by digest and whole text.
+Rows then look up their class by digest, as often as they stand there; the rows of a
+frequent text are dealt out by salts, its class copied to each (``skew``). Should two
+different texts share a digest, the rows of that digest, and only they, are looked up
+by digest and whole text.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cardinia.llm import skew
 from cardinia.llm._util import SPACES, text_or_empty, written
 
 SALTS = 32
@@ -68,27 +71,29 @@ def exact_dedup(
     Texts are equal when identical after every run of ASCII white space became one
     space. Null counts as the empty text. Of a class one row stays, that with the
     smallest non-null id (of rows that repeat both id and text, any one; if every id of
-    a class is null, one of its rows). An empty table gives an empty result. Columns
-    other than id and text are not looked at.
+    a class is null, one of its rows). Texts of any length are compared whole. An empty
+    table gives an empty result. Columns other than id and text are not looked at.
     """
     keyed = _keyed(docs, id_col, text_col, digest)
     classes = written(classes_of(keyed.select("__id", "__digest", "__text"), salts), "dedup-classes")
     # Rows that repeat id and text meet here, so that exactly one of them can stay.
     rows = ["__digest", "__id", "__sha"]
     counted = keyed.groupBy(*rows).agg(F.count(F.lit(1)).alias("__rows"))
-    joined = counted.join(classes.where("__texts = 1"), "__digest").select(*rows, "__rows", "__keep", "__size")
+    spread = F.xxhash64("__id")  # equal ids of a text are one row by now
+    hot = skew.hot_keys(classes, "__digest", "__size")
+    joined = skew.salted_join(counted, classes.where("__texts = 1"), "__digest", hot, spread).select(*rows, "__rows", "__keep", "__size")
     clashes = classes.where("__texts > 1").select("__digest")
     if not clashes.isEmpty():
         clashed = keyed.join(clashes, "__digest", "left_semi")
         by_text = combine(clashed.select("__id", "__digest", "__text"), salts)
         counted = clashed.groupBy(*rows, "__text").agg(F.count(F.lit(1)).alias("__rows"))
         joined = joined.unionByName(counted.join(by_text, ["__digest", "__text"]).select(*joined.columns))
-    each = joined.select(*rows, "__keep", "__size", F.explode(F.sequence(F.lit(1), F.col("__rows"))).alias("__number"))
+    each = skew.each_copy(joined, "__rows", "__number", hot is not None)
     return each.select(
         F.col("__id").alias(id_col),
         F.col("__keep").alias("keep_id"),
         F.col("__size").alias("group_size"),
-        (F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("__number") == 1)).alias("kept"),
+        (F.col("__id").eqNullSafe(F.col("__keep")) & (F.col("__number") == 0)).alias("kept"),
         F.col("__sha").alias("text_sha256"),
     )
 
@@ -98,6 +103,9 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Rows are joined to their class by digest and id, so a frequent text is dealt out by
     its rows' ids, and travel as one struct, so that no name of their columns can clash.
+    Null texts are empty ones, and one row of all empty texts stays; null ids stay only
+    if a class has no others. Texts of any length are compared whole; an empty table
+    stays empty.
     """
     keyed = _keyed(docs, id_col, text_col, digest, F.struct(*docs.columns).alias("row"))
     classes = written(classes_of(keyed.select("__id", "__digest", "__text"), salts), "dedup-classes")
