@@ -11,10 +11,11 @@ and is aligned with one page after another:
 
 Wrappers of one host align with each other just as pages do, so each task infers its
 own, and these meet in two steps (by host and salt, then by host): no task sees all
-pages of a host with a third of the table. A wrapper then says which blocks are the
-article: the region under ``article`` or ``main``, else the lowest element that holds
-all variable text, without menus, forms, adverts, comments and the like. ``extract``
-keeps slots there that have the same text on every page of the host.
+pages of a host with a third of the table. A wrapper then says where the article is: in
+the lowest element that holds all variable slots, or in ``article`` or ``main`` elements
+inside it, unless the variable slots show that these are only teasers. Menus, forms,
+adverts, comments and the like are no part of it. Within it nothing is dropped, be it the
+same on all pages or not.
 """
 
 from __future__ import annotations
@@ -24,13 +25,15 @@ import os.path
 import pickle
 import re
 import zlib
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardinia.llm._util import lean, written
+from cardinia.llm import skew
+from cardinia.llm._util import lean, scope, written
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
@@ -71,11 +74,13 @@ _FOREIGN = "!"
 _HEADER, _OWN = "header", frozenset("article post entry story content".split())
 #: Class names that speak of something else on the page, as in "no-sidebar".
 _ABOUT = re.compile(r"(?:no|without|has|with|is)[-_]", re.I)
-#: Pages on which a slot must have had one text before the text counts as the template's.
-_CONSTANT = 5
+#: Article elements with less than this share of a host's variable text are teasers.
+_TEASERS = 0.25
+#: Items of a wrapper beyond which runs of optional ones are taken together.
+_ITEMS = 4096
 #: Longest group that repeats.
 _PERIOD = 6
-#: Bytes of wrappers up to which they are sent to every task; beyond, pages and wrappers are joined.
+#: Bytes of the hosts' regions up to which they are sent to every task; beyond, pages are joined with them.
 SENT = 32 << 20
 VARIABLE = -1
 
@@ -217,30 +222,90 @@ def page_wrapper(page: str | None) -> Wrapper:
     return 1, folded([[(path,), False, False, 1, [[len(text), _crc(text)]]] for path, text in blocks(page)])
 
 
+def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """A longest part of ``pairs`` (first numbers rise) in which the second numbers rise, too."""
+    tops: list[int] = []
+    last: list[int] = []
+    before = [-1] * len(pairs)
+    for k, (_, j) in enumerate(pairs):
+        at = bisect_left(tops, j)
+        before[k] = last[at - 1] if at else -1
+        if at == len(tops):
+            tops.append(j)
+            last.append(k)
+        else:
+            tops[at], last[at] = j, k
+    out = []
+    k = last[-1] if last else -1
+    while k >= 0:
+        out.append(pairs[k])
+        k = before[k]
+    return out[::-1]
+
+
 def _matches(a: list, b: list) -> list[tuple[int, int]]:
-    """Places of a longest common subsequence of the items' paths."""
-    n, m, k = len(a), len(b), 0
-    while k < min(n, m) and a[k][0] == b[k][0]:
-        k += 1
-    end = 0
-    while end < min(n, m) - k and a[n - 1 - end][0] == b[m - 1 - end][0]:
-        end += 1
-    x, y = [i[0] for i in a[k : n - end]], [i[0] for i in b[k : m - end]]
-    length = [[0] * (len(y) + 1) for _ in range(len(x) + 1)]
-    for i in range(len(x) - 1, -1, -1):
-        row, below = length[i], length[i + 1]
-        for j in range(len(y) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if x[i] == y[j] else max(below[j], row[j + 1])
-    middle, i, j = [], 0, 0
-    while i < len(x) and j < len(y):
-        if x[i] == y[j]:
-            middle.append((k + i, k + j))
+    """Places of a common subsequence of the items' paths, in memory that grows with their number only.
+
+    What both begin and end with agrees; between, paths that each has once are matched in
+    rising order, and so is again what stands between these; where no path is unique,
+    their first occurrences are matched with each other, their second ones, and so on.
+    """
+    numbers: dict = {}
+    x, y = ([numbers.setdefault(i[0], len(numbers)) for i in items] for items in (a, b))
+    out: list[tuple[int, int]] = []
+    waiting = [(0, len(x), 0, len(y))]
+    while waiting:
+        i, m, j, n = waiting.pop()
+        while i < m and j < n and x[i] == y[j]:
+            out.append((i, j))
             i, j = i + 1, j + 1
-        elif length[i + 1][j] >= length[i][j + 1]:
-            i += 1
+        while i < m and j < n and x[m - 1] == y[n - 1]:
+            m, n = m - 1, n - 1
+            out.append((m, n))
+        if i == m or j == n:
+            continue
+        there: dict[int, list[int]] = {}
+        for q in range(j, n):
+            there.setdefault(y[q], []).append(q)
+        here: dict[int, list[int]] = {}
+        for p in range(i, m):
+            if x[p] in there:
+                here.setdefault(x[p], []).append(p)
+        single = sorted((p[0], there[k][0]) for k, p in here.items() if len(p) == len(there[k]) == 1)
+        if single:
+            for p, q in [*_rising(single), (m, n)]:
+                waiting.append((i, p, j, q))
+                if p < m:
+                    out.append((p, q))
+                i, j = p + 1, q + 1
         else:
-            j += 1
-    return [(i, i) for i in range(k)] + middle + [(n - end + i, m - end + i) for i in range(end)]
+            out += _rising(sorted(z for k, p in here.items() for z in zip(p, there[k], strict=False)))
+    return sorted(out)
+
+
+def bounded(items: list[list], most: int = _ITEMS) -> list[list]:
+    """The items, optional ones taken together where they are many: first those of one parent, then those of one grandparent, and so on.
+
+    Nothing is lost but where in that element its text stands: their characters add up, as variable ones.
+    """
+    if len(items) > most:  # what is excluded decides nothing
+        items = [x for x in items if not x[2] or not all(map(excluded, x[0]))]
+    cut = 0
+    while len(items) > most and any(x[2] for x in items):
+        cut += 1
+        out: list[list] = []
+        for x in items:
+            if x[2]:
+                path = "/".join(os.path.commonprefix([p.split("/") for p in x[0]])[: -1 if cut < 2 else -2]) + "/*"
+                one = [(path,), True, True, x[3], [[sum(s[0] for s in x[4]), VARIABLE]]]
+                if out and out[-1][2] and out[-1][0] == one[0]:
+                    one = _join(out.pop(), one, True)
+                x = one
+            out.append(x)
+        if len(out) == len(items) and cut > 64:
+            break
+        items = out
+    return items
 
 
 def aligned(a: Wrapper, b: Wrapper) -> Wrapper:
@@ -252,55 +317,43 @@ def aligned(a: Wrapper, b: Wrapper) -> Wrapper:
         if p < len(a[1]):
             out.append(_join(a[1][p], b[1][q], False))
         i, j = p + 1, q + 1
-    return a[0] + b[0], folded(out)
+    return a[0] + b[0], bounded(folded(out))
 
 
-def decisions(wrapper: Wrapper, constant: int | None = _CONSTANT) -> tuple[tuple[str, ...], frozenset]:
-    """What the wrapper says about its host: the article's regions (path prefixes), and the (path, crc) of the template's own texts.
+def _within(path: str, regions: tuple[str, ...]) -> bool:
+    return any(path == r or path.startswith(f"{r}/") for r in regions)
 
-    These are texts in the regions that are the same on all of ``constant`` pages or more; with None, none are.
-    """
-    pages, items = wrapper
-    slots = [(path, x[1], x[2], x[3], s) for x in items for path, s in zip(x[0], x[4], strict=True) if not excluded(path)]
-    regions: set[str] = set()
+
+def decisions(wrapper: Wrapper) -> tuple[str, ...]:
+    """The article's regions on the wrapper's host, as path prefixes."""
+    slots = [(path, x[3], s) for x in wrapper[1] for path, s in zip(x[0], x[4], strict=True) if not excluded(path)]
+    # Text that only one page has is not known to be the template's.
+    own = [(path, s[0]) for path, n, s in slots if s[1] == VARIABLE or n < 2] or [(path, s[0]) for path, _, s in slots]
     for tag in ("article", "main"):
+        found: set[str] = set()
         for path, *_ in slots:
             at = next((k for k, e in enumerate(path.split("/")) if e.split(".")[0] == tag), None)
             if at is not None:
-                regions.add("/".join(path.split("/")[: at + 1]))
-        if regions:
-            break
-    if not regions and slots:
-        # The lowest element that holds all variable text. Text that only one page has is not known to be the template's.
-        paths = {path for path, _, _, n, s in slots if s[1] == VARIABLE or n < 2} or {path for path, *_ in slots}
-        split = [p.split("/") for p in paths]
-        if len(paths) == 1:
-            split[0].pop()
-        regions.add("/".join(os.path.commonprefix(split)))
-
-    if constant is None:
-        return tuple(sorted(regions)), frozenset()
-
-    def within(path: str) -> bool:
-        return any(path == r or path.startswith(f"{r}/") for r in regions)
-
-    own = [s for s in slots if within(s[0])]
-    variable = sum(s[4][0] for s in own if s[4][1] == VARIABLE)
-    fixed = [s for s in own if s[4][1] != VARIABLE and not s[1] and not s[2] and s[3] == pages >= constant]
-    if variable <= sum(s[4][0] for s in fixed):
-        fixed = []
-    return tuple(sorted(regions)), frozenset((s[0], s[4][1]) for s in fixed)
-
-
-def main_text(page: str | None, rules: tuple[tuple[str, ...], frozenset]) -> str:
+                found.add("/".join(path.split("/")[: at + 1]))
+        regions = tuple(sorted(found))
+        if regions and sum(n for path, n in own if _within(path, regions)) >= _TEASERS * sum(n for _, n in own):
+            return regions
+    if not own:
+        return ()
+    split = [p.split("/") for p in {path for path, _ in own}]
+    if len(split) == 1:
+        split[0].pop()
+    return ("/".join(os.path.commonprefix(split)),)
+
+
+def main_text(page: str | None, regions: tuple[str, ...]) -> str:
     """The article's blocks, each on a line."""
-    regions, fixed = rules
     found = [(path, text) for path, text in blocks(page) if not excluded(path)]
-    own = [(path, text) for path, text in found if any(path == r or path.startswith(f"{r}/") for r in regions)]
+    own = [text for path, text in found if _within(path, regions)]
     if not own:  # a page unlike the others of its host: its own wrapper decides
-        alone = decisions(page_wrapper(page))[0]
-        own = [(path, text) for path, text in found if any(path == r or path.startswith(f"{r}/") for r in alone)]
-    return "\n".join(text for path, text in own if not fixed or (path, _crc(text)) not in fixed)
+        alone = decisions(page_wrapper(page))
+        own = [text for path, text in found if _within(path, alone)]
+    return "\n".join(own)
 
 
 def host_of(url: Column) -> Column:
@@ -323,45 +376,48 @@ def _aligning(wrapper_of: Callable) -> Callable[[Iterator[pa.RecordBatch]], Iter
 
 
 def infer(pages: DataFrame, url_col: str, html_col: str, salts: int = 16) -> DataFrame:
-    """(host, wrapper): one wrapper for each host, from all its pages; written."""
+    """(host, wrapper, regions): one wrapper for each host, from all its pages, and what it decides; written."""
     schema = "host string, wrapper binary"
-    partial = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(_aligning(page_wrapper), schema)
-    salted = partial.withColumn("salt", F.spark_partition_id() % salts).repartition("host", "salt").select("host", "wrapper").mapInArrow(_aligning(pickle.loads), schema)
-    return written(salted.repartition("host").mapInArrow(_aligning(pickle.loads), schema), "wrappers")
+    partial = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(lean(_aligning(page_wrapper)), schema)
+    salted = partial.withColumn("salt", F.spark_partition_id() % salts).repartition("host", "salt").select("host", "wrapper").mapInArrow(lean(_aligning(pickle.loads)), schema)
+    whole = salted.repartition("host").mapInArrow(lean(_aligning(pickle.loads)), schema)
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            regions = [list(decisions(pickle.loads(w.as_py()))) for w in b.column(1)]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(regions, pa.list_(pa.string()))], names=["host", "wrapper", "regions"])
+
+    return written(whole.mapInArrow(decide, f"{schema}, regions array<string>"), "wrappers")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", sent: int = SENT) -> DataFrame:
-    """id, url, text, n_chars for each page, from its whole html; text that all pages of a host share stays, however many they are.
+    """id, url, text, n_chars for each page, from its whole html, however long it is.
 
     Null html has the empty text. Pages without a url, or with one that names no host,
     share a wrapper. Repeated rows give repeated rows; an empty table gives an empty
-    result; other columns are not looked at. Wrappers of up to ``sent`` bytes in all go
-    to every task; more are joined by host.
+    result; other columns are not looked at. The hosts' regions go to every task if they
+    are of ``sent`` bytes at most in all; more are joined by host, those of hosts with
+    many pages by salts.
     """
-    wrappers = infer(pages, url_col, html_col)
+    with scope() as kept:
+        rules = written(infer(pages, url_col, html_col).select("host", "regions"), "page-regions")
+        kept.append(rules)
     kind = pages.schema[id_col].dataType.simpleString()
-    schema = f"id {kind}, url string, text string"
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    size = wrappers.agg(F.sum(F.length("wrapper"))).first()[0] or 0
+    host = host_of(F.col(url_col))
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), host.alias("host"))
+    size = rules.agg(F.sum(F.length("host") + F.length(F.concat_ws("", "regions")) + 100)).first()[0] or 0
+    known = None
     if size <= sent:
-        rules = {r.host: decisions(pickle.loads(bytes(r.wrapper)), None) for r in wrappers.collect()}
-        to_all = pages.sparkSession.sparkContext.broadcast(rules)
-        found = None
+        known = pages.sparkSession.sparkContext.broadcast({r.host: tuple(r.regions) for r in rules.collect()})
     else:
-        to_all = None
-        found = wrappers
+        counts = pages.groupBy(host.alias("host")).agg(F.count(F.lit(1)).alias("n"))
+        rows = skew.salted_join(rows, rules, "host", skew.hot_keys(counts, "host", "n"), F.monotonically_increasing_id()).select("id", "url", "html", "host", "regions")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, tuple] = {} if to_all is None else to_all.value
         for b in batches:
-            texts = []
-            for k, (host, page) in enumerate(zip(b.column(3).to_pylist(), b.column(2), strict=True)):
-                if host not in known:
-                    if len(known) > 1000:
-                        known.clear()
-                    known[host] = decisions(pickle.loads(b.column(4)[k].as_py()), None)
-                texts.append(main_text(page.as_py(), known[host]))
+            regions = [known.value[h] for h in b.column(3).to_pylist()] if known is not None else map(tuple, b.column(4).to_pylist())
+            texts = [main_text(page.as_py(), r) for page, r in zip(b.column(2), regions, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], names=["id", "url", "text"])
 
-    out = (rows if found is None else rows.join(found, "host").select("id", "url", "html", "host", "wrapper")).mapInArrow(lean(run), schema)
+    out = rows.mapInArrow(lean(run), f"id {kind}, url string, text string")
     return out.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

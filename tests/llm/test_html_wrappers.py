@@ -1,8 +1,11 @@
+import os
 import random
+import tracemalloc
 
 import pytest
 
 from cardinia.llm import html_wrappers as hw
+from cardinia.llm import skew
 
 SCHEMA = "page_id long, url string, html string, host string, wrapper string, id long"
 
@@ -56,11 +59,90 @@ def test_groups_of_several_blocks_repeat():
     assert [x[:2] for x in items] == [[("/body/main/h2", "/body/main/p"), True]]
 
 
-def test_the_templates_own_text_goes():
-    pages = [f"<body><article><h1>T{i}</h1><p>Body text number {i}, quite long.</p><h6>Thank you for reading</h6></article></body>" for i in range(6)]
-    assert extracted(pages)[1][2] == "T2\nBody text number 2, quite long."
-    assert extracted(pages[:3])[1][2].endswith("Thank you for reading")
-    assert extracted([pages[0]] * 6)[1][0].count("\n") == 2  # nothing varies, so nothing is the template's
+def test_inference_decides():
+    """Without <article>, a page alone cannot tell the template's text from its own; with the host's wrapper it can."""
+    note = "<div class=zq><p>This site collects stories of the sea and of those who sail it.</p></div>"
+    pages = [f"<body>{note}<div class=zr><h1>T{i}</h1><p>Body text {i}</p></div>{note}</body>" for i in range(5)]
+    assert extracted(pages)[1] == [f"T{i}\nBody text {i}" for i in range(5)]
+    alone = [hw.main_text(p, hw.decisions(hw.page_wrapper(p))) for p in pages]
+    assert all(t.startswith("This site") for t in alone)
+
+
+def test_teasers_are_not_the_article():
+    """<article> cards beside the text: the variable slots tell that these are not what the pages are about."""
+    card = "<article class=card><h3>Card {0}</h3></article>"
+    pages = ["<body><div class=zr><h1>T{0}</h1><p>{1}</p></div><div class=zs>{2}</div></body>".format(i, f"long text {i} " * 40, "".join(card.format(f"{i}-{k}") for k in range(3))) for i in range(4)]
+    assert all(f"long text {i} long text {i}" in t for i, t in enumerate(extracted(pages)[1]))
+
+
+def brute(pages):
+    """Of templates in which every block has a path of its own: what is under the lowest element that holds every path with more than one text."""
+    texts: dict[str, set] = {}
+    for p in pages:
+        for path, text in hw.blocks(p):
+            texts.setdefault(path, set()).add(text)
+    variable = [p.split("/") for p, t in texts.items() if len(t) > 1]
+    region = os.path.commonprefix(variable) if len(variable) > 1 else variable[0][:-1]
+    return ["\n".join(t for path, t in hw.blocks(p) if path.split("/")[: len(region)] == region) for p in pages]
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_against_brute_force(seed):
+    rng = random.Random(seed)
+    count = rng.randint(2, 9)
+
+    def tree(depth):
+        """A template: ("p", name, kind) or ("div", name, children)."""
+        name = f"z{rng.getrandbits(40):x}".translate(str.maketrans("0123456789", "ghijklmnop"))
+        if depth == 0 or rng.random() < 0.3:
+            return "p", name, rng.choice(["fixed", "own", "own", "mostly"])
+        return "div", name, [tree(depth - 1) for _ in range(rng.randint(1, 4))]
+
+    def html(node, i):
+        kind, name, inner = node
+        if kind == "div":
+            return f"<div class={name}>{''.join(html(c, i) for c in inner)}</div>"
+        if inner == "mostly" and i == 1:
+            return ""
+        return f"<p class={name}>{'text' if inner == 'fixed' else f'text {i}'} of {name}</p>"
+
+    template = ("div", "root", [tree(3), tree(2), ("p", "last", "own")])
+    pages = [f"<body>{html(template, i)}</body>" for i in range(count)]
+    if any("mostly" in str(template) for _ in pages) and count < 4:
+        pages = [f"<body>{html(template, i)}</body>" for i in (2, 3, 4)]  # what one page alone has is not known to be the template's
+    assert extracted(pages)[1] == brute(pages)
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_alignment(seed):
+    """A common subsequence in rising order, and the longest where the paths of a page differ."""
+    rng = random.Random(seed)
+    wide = seed % 2
+    x, y = ([[(str(v),)] for v in (rng.sample(range(60), 40) if wide else rng.choices(range(6), k=40))] for _ in range(2))
+    found = hw._matches(x, y)
+    assert all(x[i] == y[j] for i, j in found)
+    assert all(a[0] < b[0] and a[1] < b[1] for a, b in zip(found, found[1:], strict=False))
+    if wide:
+        length = [[0] * 41 for _ in range(41)]
+        for i in range(40):
+            for j in range(40):
+                length[i + 1][j + 1] = length[i][j] + 1 if x[i] == y[j] else max(length[i][j + 1], length[i + 1][j])
+        assert len(found) == length[40][40]
+
+
+def test_long_pages_of_unlike_blocks():
+    """100,000 blocks without a common path: aligned in linear memory, and the wrapper stays bounded."""
+    def page(i):
+        return "<body><div class=main>" + "".join(f"<p class=q{i}x{''.join(chr(97 + int(d)) for d in str(k))}>block {i} {k}</p>" for k in range(100_000)) + "</div></body>"
+
+    tracemalloc.start()
+    pages = [page(c) for c in "rs"]
+    w, texts = extracted(pages)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert [t.count("\n") for t in texts] == [99_999] * 2
+    assert peak < 600 << 20
+    assert len(w[1]) <= hw._ITEMS
 
 
 @pytest.mark.parametrize("body", [
@@ -122,12 +204,13 @@ def test_ids_of_headings_outside_articles():
     assert hw.main_text(page, hw.decisions(hw.page_wrapper(page))) == "x\nend"
 
 
-def test_rows(spark):
+def test_rows(spark, monkeypatch):
     rows = [(i, f"https://{'hot' if i % 2 else 'h' + str(i % 5)}.example.com/a/{i}?q", shop(i, i % 4 + 1), "h", "w", 3) for i in range(40)]
     rows += [(40, None, None, None, None, None), (41, "", "", None, None, None), (42, "nothing", "<p>alone</p>", None, None, None), rows[3], (None, "//x.org/a", shop(9, 30_000), None, None, None)]
     df = spark.createDataFrame(rows, SCHEMA).repartition(5)
     want = sorted(((r[0], r[1], wanted(r[0], r[0] % 4 + 1) if r[0] is not None and r[0] < 40 else {42: "alone", None: wanted(9, 30_000)}.get(r[0], "")) for r in rows), key=str)
-    for sent in (hw.SENT, 0):  # wrappers sent to every task, and joined by host
+    monkeypatch.setattr(skew, "LEAST", 10)  # so that one host is hot
+    for sent in (hw.SENT, 0):  # regions sent to every task, and joined by host
         out = hw.extract(df, sent=sent).collect()
         assert sorted(((r.page_id, r.url, r.text) for r in out), key=str) == want
         assert all(r.n_chars == len(r.text) for r in out)
