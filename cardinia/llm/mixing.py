@@ -4,8 +4,9 @@
   share 150 % of all words, each at most twice its own, the excess reshared by weight.
   That is a water level: target = min(cap, level * weight), and the level is the largest
   of those that the sources give when taken by cap / weight.
-* Blocks: a source's documents are shuffled by md5(id) and laid end to end; every
-  ``block`` words are a block.
+* Blocks: a source's documents are shuffled by md5 of id and size and laid end to end;
+  every ``block`` words are a block. Documents that agree in both lie side by side, and
+  are one row until their places are known.
 * Schedule: slot t maps the golden-ratio point frac(t / phi), in integers, through the
   cumulative targets to a source; the slot's rank among its source's slots says which
   block it takes: rank mod blocks, in pass rank div blocks. Ranks are counted in chunks
@@ -21,7 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from cardinia.llm import skew
 from cardinia.llm._util import WORDS, id_text, text_or_empty, written
+from cardinia.llm.sharding import bucket_digits
 
 WEIGHTS = (3, 1, 2)
 SHARE = 1.5
@@ -37,13 +40,18 @@ CELLS = 1024
 
 
 def sized_rows(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
+    """One row for all documents that agree in id, source and size, with their number (__times)."""
+    sized = _sized(docs, id_col, text_col, source_col)
+    return sized.groupBy(*sized.columns).agg(F.count(F.lit(1)).alias("__times"))
+
+
+def _sized(docs: DataFrame, id_col: str, text_col: str, source_col: str) -> DataFrame:
     return docs.select(
         F.col(id_col).alias("__id"),
         F.col(source_col).alias("__source"),
         F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("null")).alias("__skey"),
         F.regexp_count(text_or_empty(text_col), F.lit(WORDS)).cast("long").alias("__size"),
-        F.md5(id_text(id_col)).alias("__hash"),
-    )
+    ).withColumn("__hash", F.md5(F.concat_ws("/", id_text("__id"), F.col("__size").cast("string"))))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float = SHARE, cap: int = CAP) -> DataFrame:
@@ -51,7 +59,7 @@ def targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
 
     The window has one row for each source, nothing that grows with the rows.
     """
-    by_source = sized.groupBy("__skey", "__source").agg(F.sum("__size").alias("__words"))
+    by_source = sized.groupBy("__skey", "__source").agg(F.sum(F.col("__size") * F.col("__times")).alias("__words"))
     ranked = by_source.withColumn("__rank", F.row_number().over(Window.orderBy(F.col("__source").asc_nulls_last())) - 1)
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("__rank") % len(weights) + 1).cast("int"))
     all_rows = Window.orderBy(F.lit(1)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
@@ -88,13 +96,17 @@ def schedule(sources: DataFrame, block: int = BLOCK) -> DataFrame:
 
 def laid_out(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """Each row's first word in its source's shuffled line of documents (__start)."""
-    rows = sized.join(sources.select("__skey", "__rank", "__words", "__target"), "__skey").withColumn("__bucket", F.substring("__hash", 1, 3))
-    sums = rows.groupBy("__rank", "__bucket").agg(F.sum("__size").alias("__sum"))
+    total = sized.agg(F.sum("__times").alias("n"), F.max("__times").alias("most")).first()
+    rows = sized.join(sources.select("__skey", "__rank", "__words", "__target"), "__skey").withColumn("__bucket", F.substring("__hash", 1, bucket_digits(total.n or 0)))
+    together = F.col("__size") * F.col("__times")
+    sums = rows.groupBy("__rank", "__bucket").agg(F.sum(together).alias("__sum"))
     earlier = Window.partitionBy("__rank").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sums.select("__rank", "__bucket", F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
     within = Window.partitionBy("__rank", "__bucket").orderBy("__hash", "__id", "__size").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("__within", F.coalesce(F.sum("__size").over(within), F.lit(0)))
-    return rows.join(offsets, ["__rank", "__bucket"]).withColumn("__start", F.col("__before") + F.col("__within"))
+    rows = rows.withColumn("__within", F.coalesce(F.sum(together).over(within), F.lit(0)))
+    rows = rows.join(offsets, ["__rank", "__bucket"])
+    each = skew.each_copy(rows, "__times", "__copy", (total.most or 0) > skew.CHUNK)
+    return each.withColumn("__start", F.col("__before") + F.col("__within") + F.col("__copy") * F.col("__size")).drop("__copy", "__times")
 
 
 def mix(
@@ -111,8 +123,10 @@ def mix(
 
     Null texts have size 0; rows of size 0 and sources without words are taken 0 times.
     A null source is a source, the last. Null ids are shuffled like empty ones, and rows
-    that agree in id, source and size are interchangeable. Reruns agree, whatever the
-    partitions. An empty table gives an empty result.
+    that agree in id, source and size are interchangeable, but for the order of their
+    takings. Texts of any length are counted whole. Reruns agree, whatever the
+    partitions. An empty table gives an empty result; other columns, whatever their
+    names, are not looked at.
     """
     sized = written(sized_rows(docs, id_col, text_col, source_col), "mix-sizes")
     sources = written(targets(sized, weights, share, cap), "mix-sources")
@@ -150,7 +164,8 @@ def repeated_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """``docs``, each row as often as the mix takes it in whole documents (0, 1 or 2 times).
 
     Rows are joined to the mix by id; rows that share an id, or have none, follow the
-    average of what the mix takes of them.
+    average of what the mix takes of them. Rows without words go; texts of any length
+    stay whole, and an empty table stays empty.
     """
     mixed = mix(docs, id_col, text_col, source_col, **how)
     by_id = mixed.groupBy(F.col(id_col).alias("key")).agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))

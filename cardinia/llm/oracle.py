@@ -9,8 +9,8 @@ _CRC = """xor(list_reduce([4294967295] || list_transform(regexp_extract_all(hex(
 _CRC_TABLE = "SELECT list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda acc, k: CASE WHEN acc & 1 = 1 THEN xor(acc >> 1, 3988292384) ELSE acc >> 1 END)) AS t"
 
 
-def repeated_passages(length: int = 400) -> str:
-    """Every window of ``length`` bytes by its md5; windows that occur twice, as merged spans; what is left of each text."""
+def repeated_passages(length: int = 400, words: int = 51) -> str:
+    """Every window of ``length`` bytes by its md5; windows that occur twice, as merged spans; what is left of each text. Windows of words in that likewise."""
     return f"""
 WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents),
 w AS (SELECT doc_id, b, unnest(range(1, n - {length} + 2)) AS p FROM d WHERE n >= {length}),
@@ -25,9 +25,17 @@ kept AS (
     SELECT d.doc_id, 1000000000, array_slice(d.b, coalesce(max(s.hi), 0) + 1, d.n) FROM d LEFT JOIN spans AS s USING (doc_id) GROUP BY d.doc_id, d.b, d.n
 ),
 joined AS (SELECT doc_id, string_agg(hex(piece), '' ORDER BY k) AS x FROM kept GROUP BY doc_id),
-cut AS (SELECT doc_id, sum(hi - lo + 1) AS removed, count(*) AS spans FROM spans GROUP BY doc_id)
-SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(c.removed, 0) AS BIGINT) AS n_removed, coalesce(c.spans, 0) AS n_spans, sha256(unhex(j.x)) AS kept_sha256
-FROM d JOIN joined AS j USING (doc_id) LEFT JOIN cut AS c USING (doc_id)
+cut AS (SELECT doc_id, sum(hi - lo + 1) AS removed, count(*) AS spans FROM spans GROUP BY doc_id),
+texts AS (SELECT b, row_number() OVER () AS c, min(doc_id) AS doc_id FROM d GROUP BY b),
+words AS (
+    SELECT t.c, k.k, list_filter(string_split(array_to_string(list_transform(regexp_extract_all(hex(k.piece), '..'), lambda x: CASE WHEN x IN ('20', '09', '0A', '0B', '0C', '0D') THEN ' ' ELSE x END), ''), ' '), lambda x: x <> '') AS w
+    FROM kept AS k JOIN texts AS t USING (doc_id)
+),
+windows AS (SELECT c, k, p, md5(array_to_string(w[p:p + {words - 1}], ' ')) AS h FROM (SELECT c, k, w, unnest(range(1, len(w) - {words - 2})) AS p FROM words WHERE len(w) >= {words})),
+shared AS (SELECT c, coalesce(p - lag(p) OVER (PARTITION BY c, k ORDER BY p), 0) <> 1 AS begins FROM windows WHERE h IN (SELECT h FROM windows GROUP BY h HAVING min(c) < max(c))),
+passages AS (SELECT c, count(*) AS passages FROM shared WHERE begins GROUP BY c)
+SELECT d.doc_id, d.n AS n_bytes, CAST(coalesce(c.removed, 0) AS BIGINT) AS n_removed, coalesce(c.spans, 0) AS n_spans, sha256(unhex(j.x)) AS kept_sha256, coalesce(c.spans, 0) + coalesce(r.passages, 0) AS n_repeats
+FROM d JOIN joined AS j USING (doc_id) LEFT JOIN cut AS c USING (doc_id) JOIN texts AS x USING (b) LEFT JOIN passages AS r ON r.c = x.c
 """
 
 
@@ -41,7 +49,7 @@ def feistel_shards(shards: int = sharding.SHARDS, seed: str = "shuffle", rounds:
 WITH RECURSIVE tab AS ({_CRC_TABLE}),
 base AS (SELECT doc_id, CAST(strlen(coalesce(text, '')) + 8 AS BIGINT) AS size, {_CRC} AS crc FROM documents, tab),
 numbered AS (
-    SELECT *, row_number() OVER (ORDER BY substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, {digits}), doc_id NULLS FIRST, size, crc) - 1 AS row, count(*) OVER () AS n FROM base
+    SELECT *, row_number() OVER (ORDER BY substr(md5(concat_ws('/', coalesce(CAST(doc_id AS VARCHAR), ''), size, crc)), 1, {digits}), doc_id NULLS FIRST, size, crc) - 1 AS row, count(*) OVER () AS n FROM base
 ),
 walk(row, n, m, k, p) AS (
     SELECT row, n, CAST(floor(sqrt(n - 1)) AS BIGINT) + 1, 0, row FROM numbered
@@ -60,7 +68,7 @@ def mixture(block: int = mixing.BLOCK) -> str:
     weights = list(mixing.WEIGHTS)
     return f"""
 WITH sized AS (
-    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+    SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS size FROM documents
 ),
 by_source AS (SELECT source, CAST(sum(size) AS BIGINT) AS words FROM sized GROUP BY source),
 ranked AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS rank FROM by_source),
@@ -77,7 +85,7 @@ slots AS (SELECT range AS t, range % {points} * {mixing.GOLDEN} % {points} AS u
 turns AS (SELECT o.rank, o.blocks, row_number() OVER (PARTITION BY o.rank ORDER BY s.t) - 1 AS turn FROM slots AS s JOIN owners AS o ON s.u >= o.lo AND s.u < o.hi),
 times AS (SELECT rank, turn % blocks AS block, count(*) AS times FROM turns WHERE turn // blocks < {width} GROUP BY ALL),
 laid AS (
-    SELECT s.*, o.rank, o.words, o.target, coalesce(sum(s.size) OVER (PARTITION BY o.rank ORDER BY s.h, s.doc_id NULLS FIRST, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
+    SELECT s.*, o.rank, o.words, o.target, coalesce(sum(s.size) OVER (PARTITION BY o.rank ORDER BY md5(concat_ws('/', coalesce(CAST(s.doc_id AS VARCHAR), ''), s.size)), s.doc_id NULLS FIRST, s.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start,
            row_number() OVER () AS line
     FROM sized AS s JOIN owners AS o ON s.source IS NOT DISTINCT FROM o.source
 ),

@@ -1,8 +1,9 @@
 """Reproducible sharding: a Feistel permutation of the global row numbers.
 
 Rows are numbered 0 .. n-1 in the order (bucket, id, size, crc), where a row's bucket
-is the first hex digits of md5(id): the offsets of the buckets come from one small
-count, so no task ever sorts all rows. A keyed Feistel network permutes the numbers;
+is the first hex digits of md5 of these three: the offsets of the buckets come from one
+small count, so no task ever sorts all rows. Rows that agree in the three are counted
+before, so that they are one row while they are numbered. A keyed Feistel network permutes the numbers;
 it works on the square [0, m)^2 with m = ceil(sqrt(n)), and numbers beyond n are
 walked on along their cycle until they fall below n. Row p of the shuffle goes to
 shard p mod shards, slot p div shards, so both can be computed from the number alone,
@@ -20,15 +21,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cardinia.llm._util import id_text, text_or_empty
+from cardinia.llm import skew
+from cardinia.llm._util import id_text, scope, text_or_empty, written
 
 SHARDS = 24
 ROUNDS = 6
-#: Hex digits of a bucket: 16 ** 3 buckets, whose offsets are the only thing broadcast.
-DIGITS = 3
+#: Hex digits of a bucket, at least, and rows of a bucket from which there are more; the buckets' offsets are the only thing broadcast.
+DIGITS, BUCKET_ROWS = 3, 1 << 20
 #: A prime below 2 ** 31, so that products fit in a long.
 PRIME = 2147483647
-#: Steps of a walk; the chance that one is longer is below (2 / m) ** WALK.
+#: Steps of a walk before it is looked at again; the chance that one is longer is below (2 / m) ** WALK.
 WALK = 64
 
 
@@ -62,9 +64,12 @@ def _walked(start: Column, n: int, m: int, keys: list[tuple[int, int]]) -> Colum
             lambda s: s["l"] * m + s["r"],
         )
 
-    steps = F.sequence(F.lit(1), F.lit(min(m * m - n + 1, WALK)))
-    end = F.aggregate(steps, start, lambda p, _: F.when(p >= n, once(p)).otherwise(p))
-    return F.when(end < n, end).otherwise(F.raise_error(F.lit("cycle walk too long: choose another seed")).cast("long"))
+    def walk(p: Column, steps: int) -> Column:
+        return F.aggregate(F.sequence(F.lit(1), F.lit(steps)), p, lambda q, _: F.when(q >= n, once(q)).otherwise(q))
+
+    longest = m * m - n + 1  # a cycle has no more numbers beyond n
+    end = walk(start, min(longest, WALK))
+    return end if longest <= WALK else F.when(end < n, end).otherwise(walk(end, longest))
 
 
 def permuted(df: DataFrame, number: str, n: int, out: str, seed: str = "shuffle", rounds: int = ROUNDS) -> DataFrame:
@@ -79,32 +84,46 @@ def permuted(df: DataFrame, number: str, n: int, out: str, seed: str = "shuffle"
     return df.withColumn(out, F.when(F.col("__p") < n, F.col("__p")).otherwise(_walked(F.col("__p"), n, m, keys))).drop("__p")
 
 
-def numbered(rows: DataFrame, key: Column, order: list[str], out: str, digits: int = DIGITS) -> tuple[DataFrame, int]:
-    """Adds ``out``, a gapless global number from 0, and returns the number of rows, too.
+def bucket_digits(rows: int) -> int:
+    """Hex digits with which ``rows`` rows give buckets of ``BUCKET_ROWS`` at most."""
+    digits = DIGITS
+    while rows > BUCKET_ROWS * 16**digits:
+        digits += 1
+    return digits
+
+
+def numbered(rows: DataFrame, columns: list[str], out: str) -> tuple[DataFrame, int]:
+    """``columns`` (the first an id) and ``out``, a gapless global number from 0, of each row; and the number of rows.
 
-    The order is (first md5 digits of ``key``, ``order``). Only 16 ** digits counts
-    are gathered: they are the sums that the offsets come from.
+    The order is (first md5 digits of the columns' texts, columns). Only the counts of
+    the buckets are gathered: they are the sums that the offsets come from.
     """
-    bucketed = rows.withColumn("__bucket", F.conv(F.substring(F.md5(key), 1, digits), 16, 10).cast("int"))
-    counts = rows.select(F.conv(F.substring(F.md5(key), 1, digits), 16, 10).cast("int").alias("__bucket")).groupBy("__bucket").agg(F.count(F.lit(1)).alias("__count"))
-    offsets, n = [], 0
-    for bucket, count in sorted(map(tuple, counts.collect())):  # 16 ** digits rows at most
-        offsets.append((bucket, n))
-        n += count
-    spark = rows.sparkSession
-    starts = spark.createDataFrame(offsets, "__bucket int, __offset long")
-    within = F.row_number().over(Window.partitionBy("__bucket").orderBy(*order))
-    out_df = bucketed.join(F.broadcast(starts), "__bucket").withColumn(out, F.col("__offset") + within - 1)
-    return out_df.drop("__bucket", "__offset"), n
+    with scope() as kept:
+        different = written(rows.groupBy(*columns).agg(F.count(F.lit(1)).alias("__times")), "shard-rows")
+        kept.append(different)
+    total = different.agg(F.sum("__times").alias("n"), F.max("__times").alias("most")).first()
+    n = total.n or 0
+    key = F.md5(F.concat_ws("/", *[id_text(c) for c in columns]))
+    different = different.withColumn("__bucket", F.conv(F.substring(key, 1, bucket_digits(n)), 16, 10).cast("long"))
+    counts = different.groupBy("__bucket").agg(F.sum("__times").alias("__count"))
+    offsets, at = [], 0
+    for bucket, count in sorted(map(tuple, counts.collect())):  # 16 ** bucket_digits(n) rows at most
+        offsets.append((bucket, at))
+        at += count
+    starts = rows.sparkSession.createDataFrame(offsets, "__bucket long, __offset long")
+    before = F.coalesce(F.sum("__times").over(Window.partitionBy("__bucket").orderBy(*columns).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = different.withColumn("__first", before).join(F.broadcast(starts), "__bucket").withColumn("__first", F.col("__first") + F.col("__offset"))
+    each = skew.each_copy(placed.select(*columns, "__times", "__first"), "__times", "__copy", (total.most or 0) > skew.CHUNK)
+    return each.select(*columns, (F.col("__first") + F.col("__copy")).alias(out)), n
 
 
 def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shards: int = SHARDS, seed: str = "shuffle") -> DataFrame:
     """id, size, text_crc32, law, shard, slot, grown_shard for each row.
 
     size is the text's UTF-8 bytes plus 8 (null: 8), text_crc32 that of the bytes
-    (null: of none, 0). A null id is numbered like an empty one. Rows that agree in id,
-    size and crc are interchangeable: each gets a slot of its own. An empty table gives
-    an empty result. Other columns are not looked at.
+    (null: of none, 0), however long it is. A null id is numbered like an empty one. Rows
+    that agree in id, size and crc are interchangeable: each gets a slot of its own. An
+    empty table gives an empty result. Other columns are not looked at.
     """
     text = text_or_empty(text_col)
     rows = docs.select(
@@ -112,7 +131,7 @@ def shard_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         (F.octet_length(text).cast("long") + 8).alias("__size"),
         F.crc32(text.cast("binary")).alias("__crc"),
     )
-    rows, n = numbered(rows, id_text("__id"), ["__id", "__size", "__crc"], "__row")
+    rows, n = numbered(rows, ["__id", "__size", "__crc"], "__row")
     placed = permuted(rows, "__row", n, "__place", seed)
     return placed.select(
         F.col("__id").alias(id_col),

@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from cardinia.llm import mixing, oracle
+from cardinia.llm import mixing, oracle, skew
 from tests.llm.common import awkward, frame
 from tests.oracle import SMALL, assert_same, connection
 
@@ -49,7 +49,7 @@ def brute(rows, block):
             times[at] = times.get(at, 0) + 1
         turns[s] += 1
     start, out = dict.fromkeys(order, 0), []
-    for r, n in sorted(zip(rows, size, strict=True), key=lambda x: (hashlib.md5(str(x[0][0]).encode()).hexdigest(), x[0][0], x[1])):
+    for r, n in sorted(zip(rows, size, strict=True), key=lambda x: (hashlib.md5(f"{x[0][0]}/{x[1]}".encode()).hexdigest(), x[0][0], x[1])):
         a = start[r[3]]
         taken = sum(times.get((r[3], w // block), 0) for w in range(a, a + n))
         start[r[3]] += n
@@ -102,5 +102,11 @@ def test_repeated_rows(spark):
             assert counts.get(i, 0) == (int(t / n + 0.5) if n else 0)
 
 
+def test_a_third_of_all_rows_alike(spark, monkeypatch):
+    monkeypatch.setattr(skew, "CHUNK", 7)
+    rows = [(5, "some same words", None, "s", *[None] * 9)] * 60 + [(i, "other words " * (i % 7), None, f"s{i % 4}", *[None] * 9) for i in range(100)]
+    assert result(mixing.mix(frame(spark, rows), block=4)) == brute(rows, 4)
+
+
 def test_sql(spark):
     assert_same(mixing.mix(spark.read.parquet(f"{SMALL}/documents.parquet")), oracle.mixture(), connection())

@@ -3,7 +3,7 @@ import zlib
 
 import pytest
 
-from cardinia.llm import oracle, sharding
+from cardinia.llm import oracle, sharding, skew
 from tests.llm.common import awkward, frame
 from tests.oracle import SMALL, connection
 
@@ -19,7 +19,7 @@ def test_against_the_formula(spark):
     def crc(t):
         return zlib.crc32((t or "").encode())
 
-    order = sorted(rows, key=lambda r: (hashlib.md5(str(r[0]).encode()).hexdigest()[:3], r[0], len((r[1] or "").encode()), crc(r[1])))
+    order = sorted(rows, key=lambda r: (hashlib.md5(f"{r[0]}/{len((r[1] or '').encode()) + 8}/{crc(r[1])}".encode()).hexdigest()[:3], r[0], len((r[1] or "").encode()), crc(r[1])))
     want = sorted((r[0], len((r[1] or "").encode()) + 8, crc(r[1]), "rows", *sharding.where_is(i, len(rows), 4), None) for i, r in enumerate(order))
     assert got == want
 
@@ -57,6 +57,23 @@ def test_null_ids(spark):
     assert sorted((r.shard, r.slot) for r in sharding.shard_rows(df, shards=3).collect()) == [(0, 0), (1, 0), (2, 0)]
 
 
+def test_a_third_of_all_rows_alike(spark, monkeypatch):
+    """Equal rows are one row while they are numbered, and their copies are made in chunks."""
+    monkeypatch.setattr(skew, "CHUNK", 7)
+    rows = [(5, "same", *[None] * 11)] * 100 + [(None, f"t{i}", *[None] * 11) for i in range(100)] + [(i, "x", *[None] * 11) for i in range(100)]
+    got = sharding.shard_rows(frame(spark, rows), shards=4).collect()
+    assert sorted((r.shard, r.slot) for r in got) == [(i % 4, i // 4) for i in sorted(range(300), key=lambda i: (i % 4, i // 4))]
+    assert sum(r.doc_id == 5 and r.size == 12 for r in got) == 100
+    assert sharding.bucket_digits(10**6) == 3 and sharding.bucket_digits(5 * 10**10) == 4
+
+
+def test_long_walks_end(monkeypatch, spark):
+    monkeypatch.setattr(sharding, "WALK", 1)
+    df = spark.range(26).selectExpr("id AS row")
+    placed = sharding.permuted(df, "row", 26, "place").collect()
+    assert all(sharding.where_is(r.row, 26, 1)[1] == r.place for r in placed)
+
+
 def test_sql(spark):
     got = result(sharding.shard_rows(spark.read.parquet(f"{SMALL}/documents.parquet")))
     want = connection().execute(f"SELECT doc_id, size, text_crc32, law, shard, slot, grown_shard FROM ({oracle.feistel_shards()}) ORDER BY 1").fetchall()
