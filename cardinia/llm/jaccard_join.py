@@ -32,7 +32,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from cardinia.llm._util import lean, written
+from cardinia.llm import skew
+from cardinia.llm._util import discard, lean, scope, written
 from cardinia.llm.bit_filter import bit_filter, holds
 from cardinia.llm.components import components
 from cardinia.llm.shingles import WIDTH, Shingler, class_key, words_of
@@ -281,7 +282,10 @@ def links_of(docs: DataFrame, found: DataFrame, text_col: str, width: int = WIDT
 
     def confirm(pairs: DataFrame) -> DataFrame:
         keys = written(pairs.select(F.explode(F.array("a", "b")).alias("c")).distinct(), "near-keys")
-        return verified(pairs, shingle_sets(docs, text_col, keys, width))
+        sets = shingle_sets(docs, text_col, keys, width)
+        out = verified(pairs, sets)
+        discard(keys, sets)
+        return out
 
     pairs = written(first_pairs(found, small), "near-pairs")
     if pairs.isEmpty():
@@ -301,22 +305,28 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Words are lower-cased in A-Z and cut at ASCII white space. A text of fewer than
     ``width`` words is one shingle; one without words (or null) has none, is linked with
     nothing and stays alone. Rows with equal words belong together, repeated ids
-    included; null ids do not count for the smallest. An empty table gives an empty
-    result, other columns are not looked at. Shingles and classes are compared by
+    included; null ids do not count for the smallest. Texts of any length are shingled
+    whole. An empty table gives an empty result, other columns are not looked at. Shingles and classes are compared by
     64-bit hashes: a class of 10^9 texts meets a false match with a chance of 3 %.
     """
-    table = document_table(docs, id_col, text_col, width, bits)
-    rows = table.where("seg IS NULL").select("id", "c", "n")
-    signatures = table.where("seg IS NULL").groupBy("c").agg(*[F.min(x).alias(x) for x in SIGNATURE])
-    found = buckets(offers(docs, text_col, summed_counts(table, bits), width, bits, frequent), signatures)
-    labels = links_of(docs, found, text_col, width, small, dealt)
-    if labels is None:
-        marked = rows.withColumn("label", F.col("c"))
-    else:
-        marked = rows.join(labels.withColumnRenamed("v", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    # Written, so that the join below can split a label with many rows.
-    lowest = written(marked.where("n > 0").groupBy("label").agg(F.min("id").alias("component")), "near-lowest")
-    joined = marked.join(lowest, "label", "left")
+    with scope() as kept:
+        table = document_table(docs, id_col, text_col, width, bits)
+        rows = table.where("seg IS NULL").select("id", "c", "n")
+        classes = written(table.where("seg IS NULL").groupBy("c").agg(F.min("n").alias("n"), F.min("id").alias("low"), F.count(F.lit(1)).alias("rows"), *[F.min(x).alias(x) for x in SIGNATURE]), "near-classes")
+        found = buckets(offers(docs, text_col, summed_counts(table, bits), width, bits, frequent), classes.select("c", *SIGNATURE))
+        labels = links_of(docs, found, text_col, width, small, dealt)
+        mine = classes.where("n > 0").select("c", "low")
+        if labels is None:
+            lowest = mine.withColumnRenamed("low", "component")
+        else:
+            labelled = written(mine.join(labels.withColumnRenamed("v", "c"), "c", "left").withColumn("label", F.coalesce("label", "c")), "near-labels")
+            least = written(labelled.groupBy("label").agg(F.min("low").alias("component"), F.count(F.lit(1)).alias("classes")), "near-lowest")
+            heads = skew.hot_keys(least, "label", "classes")
+            lowest = skew.salted_join(labelled.select("c", "label"), least.select("label", "component"), "label", heads, F.col("c")).select("c", "component")
+        lowest = written(lowest, "near-components")
+        hot = skew.hot_keys(classes, "c", "rows")
+        kept += [table, lowest]
+    joined = skew.salted_join(rows, lowest, "c", hot, F.monotonically_increasing_id(), "left")
     return joined.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("id")).alias("component_id"))
 
 
@@ -324,7 +334,7 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """``docs`` without the rows whose id is not the smallest of their component.
 
     Rows go by their id: those that repeat an id stay or go together; rows without id
-    stay. Only rows that a filter of fixed size suspects are joined with the ids that go.
+    stay, and so do empty texts. An empty table stays empty. Only rows that a filter of fixed size suspects are joined with the ids that go.
     """
     marked = near_duplicates(docs, id_col, text_col, width)
     gone = written(marked.where(F.col("component_id") < F.col(id_col)).select(F.col(id_col).alias("gone")).distinct(), "near-gone")
