@@ -9,7 +9,7 @@ the linear part learns words that are toxic alone, the factors pairs that are to
 only together (an insult and the group it is aimed at).
 
 The model is fitted on a bounded sample of the labelled rows (``sample_rows``, in the
-order of a hash of the id), by full-batch gradient steps on the buckets that ``least_docs``
+order of a hash of the id, as far as their terms have ``SAMPLE_BYTES``), by full-batch gradient steps on the buckets that ``least_docs``
 documents of the sample or more hold and that tell its classes apart, alone or in pairs with
 others; all rows are scored on their whole texts.
 The model has a fixed size (``terms`` buckets), so it can be sent to every task.
@@ -27,12 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cardinia.llm._util import lean
+from cardinia.llm._util import lean, scope, written
 
 BITS = 20
 FACTORS = 4
 #: The bound on the labelled rows that the model is fitted on.
 SAMPLE_ROWS = 16_000
+#: And on the bytes of their packed terms, which the driver holds.
+SAMPLE_BYTES = 96 << 20
 #: The bound on the buckets that it keeps.
 TERMS = 30_000
 LEAST_DOCS = 3
@@ -240,8 +242,8 @@ def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
-def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS, bits: int = BITS) -> tuple[list[np.ndarray], np.ndarray]:
-    """Hashed terms and labels of the fitting sample: ``rows`` labelled rows that are not held out.
+def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = SAMPLE_ROWS, bits: int = BITS, sample_bytes: int = SAMPLE_BYTES) -> tuple[list[np.ndarray], np.ndarray]:
+    """Hashed terms and labels of the fitting sample: ``rows`` labelled rows that are not held out, as far as their terms have ``sample_bytes``.
 
     Only this bounded sample reaches the driver. Rows without id or label are passed over;
     of an id that is labelled more than once, toxic counts.
@@ -259,11 +261,38 @@ def sample(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["y", "ids"])
 
     joined = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text")).join(F.broadcast(few), "__id")
-    # Repeated ids in the documents could bring more rows than asked for: the bound holds for them, too.
-    got = joined.select("__y", "__text").mapInArrow(lean(hashed), "y int, ids binary").orderBy(F.xxhash64("ids"), "y").limit(rows).toPandas()
+    with scope():
+        found = written(joined.select("__y", "__text").mapInArrow(lean(hashed), "y int, ids binary"), "toxicity-sample")
+        # Repeated ids in the documents could bring more rows than asked for: the bounds hold for them, too.
+        order = [F.xxhash64("ids"), "y"]
+        sizes = found.select("y", "ids", F.length("ids").alias("n")).orderBy(*order).select("n").limit(rows).toPandas()["n"].to_numpy()
+        least = int(np.searchsorted(np.cumsum(sizes), sample_bytes, "right"))
+        got = found.orderBy(*order).limit(least).toPandas()
     return [unpacked(x) for x in got["ids"]], got["y"].to_numpy(float)
 
 
+def cross_validated(docs: list[np.ndarray], labels: np.ndarray, folds: int = 3, threshold: float = THRESHOLD, **settings) -> dict[str, float]:
+    """precision, recall and f1 at the threshold, and auc, of documents that models fitted on the other folds score; ``settings`` as for ``fit``.
+
+    This is how settings are compared: on the rows that a model may be fitted on, and no others.
+    """
+    y = np.asarray(labels, float)
+    fold = np.random.default_rng(0).integers(0, folds, len(y))
+    scores = np.zeros(len(y))
+    for f in range(folds):
+        model = fit([docs[i] for i in np.flatnonzero(fold != f)], y[fold != f], **settings)
+        known = model.terms().known or {}
+        for i in np.flatnonzero(fold == f):
+            scores[i] = model.probability(model.raw(sorted(known[b] for b in docs[i].tolist() if b in known)))
+    hit, said = ((scores >= threshold) & (y > 0)).sum(), (scores >= threshold).sum()
+    precision, recall = hit / max(1, said), hit / max(1, y.sum())
+    values, place, many = np.unique(scores, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(many) - (many - 1) / 2)[place]  # ties have their mean rank
+    pairs = y.sum() * (len(y) - y.sum())
+    auc = (rank[y > 0].sum() - y.sum() * (y.sum() + 1) / 2) / pairs if pairs else 0.5
+    return {"precision": float(precision), "recall": float(recall), "f1": float(2 * precision * recall / max(1e-9, precision + recall)), "auc": float(auc)}
+
+
 def score_rows(docs: DataFrame, model: FactorizationMachine, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """id, held_out, score, predicted for each row, from its whole text (null: empty, which scores the bias)."""
     kind = docs.schema[id_col].dataType.simpleString()
@@ -290,7 +319,11 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """``docs`` without the rows that the model rejects, whatever their other columns; no join, no shuffle."""
+    """``docs`` without the rows that the model rejects, whatever their other columns; no join, no shuffle.
+
+    Null texts are scored like empty ones, texts of any length whole; rows without id are
+    scored like others. An empty table stays empty; without labels the model is its rate.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(fit(*sample(docs, labels, id_col, text_col, rows=sample_rows))))
     at = docs.columns.index(text_col)
 

@@ -118,6 +118,34 @@ def test_sample_is_bounded(spark):
     assert len(found) == len(labels) == 50
 
 
+def test_sample_bytes_are_bounded(spark):
+    docs, marks, _ = tables(spark)
+    whole, _ = toxicity.sample(docs, marks)
+    sizes = [len(toxicity.packed(x.tolist())) for x in whole]
+    few, labels = toxicity.sample(docs, marks, sample_bytes=sum(sizes[:40]) + 1)
+    assert len(few) == len(labels) == 40 and all((a == b).all() for a, b in zip(few, whole, strict=False))
+    assert toxicity.sample(docs, marks, sample_bytes=0)[0] == []
+
+
+def test_the_scored_table_against_the_formula(spark):
+    """Every score of the table, from the model's numbers by single words and pairs."""
+    docs, marks, _ = tables(spark)
+    model = toxicity.fit(*toxicity.sample(docs, marks))
+    place = {int(b): i for i, b in enumerate(model.kept)}
+    for r in toxicity.toxicity(docs, marks).join(docs, "doc_id").collect():
+        found = {place[b] for w in r.text.split() for b in toxicity.buckets(w) if b in place}
+        raw = model.bias + sum(model.w[i] for i in found) + sum(model.v[i] @ model.v[j] for i in found for j in found if i < j) / max(1, len(found))
+        assert r.score == pytest.approx(1 / (1 + np.exp(-raw)))
+
+
+def test_settings_are_compared_on_folds():
+    texts, labels = corpus(1200, False)
+    terms = toxicity.Terms(toxicity.BITS)
+    docs = [np.array(terms.of(t)) for t in texts]
+    good, bad = toxicity.cross_validated(docs, labels), toxicity.cross_validated(docs, labels, least_docs=10**6)
+    assert good["f1"] > 0.95 and good["auc"] > 0.99 and good["f1"] > bad["f1"]
+
+
 def test_awkward_rows(spark):
     rows = awkward()
     df = frame(spark, [*rows, (None, "a", *[None] * 11)])
