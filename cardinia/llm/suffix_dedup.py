@@ -17,13 +17,17 @@ into stretches that share an anchor; a stretch with its bytes is a region.
 5. They go back to all places that the region occurs at, are joined to spans per
    distinct text, and cut out.
 
-Texts and regions are told apart by 64-bit hashes.
+Passages of ``WORDS`` words may be shorter than ``length`` bytes. In what is left they are
+counted, in the same manner with words for bytes: their windows have anchors, too, and
+only windows with an anchor that two texts share are compared.
+
+Texts, regions and windows of words are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -31,19 +35,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cardinia.llm._util import lean, text_or_empty, written
+from cardinia.llm import skew
+from cardinia.llm._util import discard, lean, scope, text_or_empty, written
 from cardinia.llm.bit_filter import bit_filter, holds
 from cardinia.llm.suffix_array import Texts
 
 LENGTH = 400
 GRAM = 128
+#: Words of a window, and of its anchor, when passages are counted: over 50.
+WORDS, WORD_GRAM = 51, 12
 #: Different regions of a group from which it is split by content.
-CROWD = 1000
-#: Window starts that are searched for anchors at a time; a text may have any length.
-_SEGMENT = 1 << 20
+CROWD = 500
+#: Rows of one region, each from another task, from which they are added up before they meet its group.
+COPIES = 16
+#: Bytes that are searched for anchors at a time, of many short texts or of one of any length.
+_SEGMENT = 1 << 17
+_SALTS = 8
 #: Bytes of regions that are sorted together, and that a task holds back to send equal ones once.
-_SORTED, _HELD = 1 << 20, 8 << 20
+_SORTED, _HELD = 1 << 19, 4 << 20
 _BASE = 0x9E3779B97F4A7C15
+_BLANK = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
 
 @lru_cache(maxsize=1)
@@ -62,39 +73,75 @@ def _hash64(*parts: bytes) -> int:
     return int.from_bytes(h.digest(), "little", signed=True)
 
 
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
+    h = h * np.uint64(0xBF58476D1CE4E5B9)
+    return h ^ (h >> np.uint64(29))
+
+
 def gram_hashes(text: np.ndarray, gram: int) -> np.ndarray:
     table, up, down = _powers()
     n = len(text)
     sums = np.cumsum(np.concatenate([[np.uint64(0)], table[text] * up[:n]]).astype(np.uint64))
-    h = (sums[gram:] - sums[:-gram]) * down[: n - gram + 1]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
+    return _mixed((sums[gram:] - sums[:-gram]) * down[: n - gram + 1])
+
+
+def least_places(h: np.ndarray, width: int) -> np.ndarray:
+    """The place of the smallest of each ``width`` neighbouring hashes (fewer than 2 ** 22 in all), the leftmost of equals."""
+    # Hash above, place below: the smallest is the smallest hash, the leftmost of equals.
+    keys = (h & ~np.uint64((1 << 22) - 1)) | np.arange(len(h), dtype=np.uint64)
+    pad = -len(keys) % width
+    grid = np.concatenate([keys, np.full(pad, np.iinfo(np.uint64).max)]).reshape(-1, width)
+    forward = np.minimum.accumulate(grid, axis=1).reshape(-1)
+    backward = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
+    n = len(h) - width + 1
+    return (np.minimum(backward[:n], forward[width - 1 : width - 1 + n]) & np.uint64((1 << 22) - 1)).astype(np.int64)
 
 
 def anchors(data: bytes, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """The stretches of windows with one anchor: its hash, its place, first window start, number of starts."""
     out: list[tuple[np.ndarray, ...]] = []
     whole = np.frombuffer(data, np.uint8)
-    width = length - gram + 1
     for at in range(0, len(whole) - length + 1, _SEGMENT):
-        text = whole[at : at + _SEGMENT + length - 1]
-        h = gram_hashes(text, gram)
-        # Hash above, place below: the smallest is the smallest hash, the leftmost of equals.
-        keys = (h & ~np.uint64((1 << 22) - 1)) | np.arange(len(h), dtype=np.uint64)
-        pad = -len(keys) % width
-        grid = np.concatenate([keys, np.full(pad, np.iinfo(np.uint64).max)]).reshape(-1, width)
-        forward = np.minimum.accumulate(grid, axis=1).reshape(-1)
-        backward = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].reshape(-1)
-        n = len(text) - length + 1
-        place = (np.minimum(backward[:n], forward[width - 1 : width - 1 + n]) & np.uint64((1 << 22) - 1)).astype(np.int64)
+        h = gram_hashes(whole[at : at + _SEGMENT + length - 1], gram)
+        place = least_places(h, length - gram + 1)
         first = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-        out.append((h[place[first]].view(np.int64), place[first] + at, first + at, np.diff(np.append(first, n))))
+        out.append((h[place[first]].view(np.int64), place[first] + at, first + at, np.diff(np.append(first, len(place)))))
     if not out:
         return tuple(np.zeros(0, np.int64) for _ in range(4))  # type: ignore[return-value]
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))  # type: ignore[return-value]
 
 
+def chunks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first, bytes, bounds) of runs of neighbouring texts of a segment's bytes at most, or of one longer text."""
+    wide = pa.types.is_large_binary(texts.type)
+    bounds = np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    i = 0
+    while i < len(texts):
+        j = max(i + 1, int(np.searchsorted(bounds, bounds[i] + _SEGMENT, "right")) - 1)
+        yield i, data[bounds[i] : bounds[j]], bounds[i : j + 1] - bounds[i]
+        i = j
+
+
+def stretches(texts: pa.Array, length: int, gram: int) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...]]]:
+    """For ``chunks``: their bytes, and the stretches: text (by its number in ``texts``), anchor's hash, its place, first window start (both in the text), number of starts, first start in the chunk."""
+    for i, data, bounds in chunks(texts):
+        if len(data) > _SEGMENT:
+            g, p, a, m = anchors(data.tobytes(), length, gram)
+            yield data, (np.full(len(g), i), g, p, a, m, a)
+        elif len(data) >= length:
+            h = gram_hashes(data, gram)
+            place = least_places(h, length - gram + 1)
+            text = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            inside = text[: len(place)] == text[length - 1 :]  # windows of one text
+            at = np.flatnonzero(inside)
+            if len(at):
+                first = np.flatnonzero(np.concatenate([[True], (place[at][1:] != place[at][:-1]) | (text[at][1:] != text[at][:-1])]))
+                t, p = text[at[first]], place[at[first]]
+                yield data, (t + i, h[p].view(np.int64), p - bounds[t], at[first] - bounds[t], np.diff(np.append(first, len(at))), at[first])
+
+
 def _texts(docs: DataFrame, text_col: str) -> DataFrame:
     text = text_or_empty(text_col)
     return docs.select(F.xxhash64(text).alias("c"), text.cast("binary").alias("text"))
@@ -106,12 +153,13 @@ def frequent_grams(texts: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         times: dict[int, int] = {}
         for b in batches:
-            found = []
-            for c, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            some = []
+            for q, c in enumerate(b.column(0).to_pylist()):
                 seen = times.get(c, 0)
                 if seen < 2:  # twice is all that counts
                     times[c] = seen + 1
-                    found.append(anchors(t.as_buffer().to_pybytes(), length, gram)[0])
+                    some.append(q)
+            found = [x[1] for _, x in stretches(b.column(1).take(pa.array(some, pa.int64())), length, gram)]
             if found:
                 g, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(n.astype(np.int64))], names=["g", "n"])
@@ -145,32 +193,35 @@ def regions(texts: DataFrame, grams: DataFrame, length: int, gram: int) -> DataF
             return out
 
         for b in batches:
-            places: list[tuple[int, int, int, int]] = []
-            for c, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            some, cs, new = [], [], []
+            for q, c in enumerate(b.column(0).to_pylist()):
                 seen = times.get(c, 0)
-                if seen == 2:
-                    continue
-                times[c] = seen + 1
-                data = t.as_buffer().to_pybytes()
-                g, p, a, m = anchors(data, length, gram)
-                some = np.flatnonzero(holds(sent.value, bits, g))
-                for k, o, at, w in zip(g[some].tolist(), (p - a)[some].tolist(), a[some].tolist(), m[some].tolist(), strict=True):
-                    x = data[at : at + w + length - 1]
+                if seen < 2:
+                    times[c] = seen + 1
+                    some.append(q)
+                    cs.append(c)
+                    new.append(not seen)
+            for data, (t, g, p, a, m, first) in stretches(b.column(1).take(pa.array(some, pa.int64())), length, gram):
+                places: list[tuple[int, int, int, int]] = []
+                those = np.flatnonzero(holds(sent.value, bits, g))
+                raws = data.tobytes() if len(those) else b""
+                for q, k, o, at, w, start in zip(t[those].tolist(), g[those].tolist(), (p - a)[those].tolist(), a[those].tolist(), m[those].tolist(), first[those].tolist(), strict=True):
+                    x = raws[start : start + w + length - 1]
                     i = _hash64(o.to_bytes(4, "little", signed=True), x)
-                    if not seen:
-                        places.append((k, i, c, at))
+                    if new[q]:
+                        places.append((k, i, cs[q], at))
                     have = held.get((k, i))
                     if have is None:
                         held[k, i] = [o, w, 1, x]
                         size += len(x) + 200
                     else:
                         have[2] = 2
-            if places:
-                none = pa.nulls(len(places), long)
-                yield pa.RecordBatch.from_arrays([*(pa.array(x, long) for x in zip(*places, strict=True)), none, none, none, pa.nulls(len(places), pa.binary())], names=names)
-            if size > _HELD:
-                yield release()
-                size = 0
+                if places:
+                    none = pa.nulls(len(places), long)
+                    yield pa.RecordBatch.from_arrays([*(pa.array(x, long) for x in zip(*places, strict=True)), none, none, none, pa.nulls(len(places), pa.binary())], names=names)
+                if size > _HELD:
+                    yield release()
+                    size = 0
         if held:
             yield release()
 
@@ -183,6 +234,26 @@ def crowded(pieces: DataFrame, crowd: int) -> DataFrame:
     return written(pieces.select("k", "i").distinct().groupBy("k").agg(F.count(F.lit(1)).alias("d")).where(F.col("d") > crowd).select("k"), "passage-crowds")
 
 
+def fewer_copies(pieces: DataFrame, copies: int = COPIES) -> DataFrame:
+    """``pieces`` with ``_SALTS`` rows at most of each region that more than ``copies`` tasks have seen."""
+    many = written(pieces.groupBy("k", "i").agg(F.count(F.lit(1)).alias("r")).where(F.col("r") > copies).select("i").distinct(), "passage-copies")
+    if many.isEmpty():
+        return pieces
+    bits, raw = bit_filter(many)
+    sent = pieces.sparkSession.sparkContext.broadcast(raw)
+
+    def those(found: bool) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(holds(sent.value, bits, b.column(1).to_numpy(zero_copy_only=False)) == found))
+
+        return pieces.mapInArrow(run, pieces.schema)
+
+    salted = those(True).withColumn("salt", F.spark_partition_id() % _SALTS)
+    added = salted.groupBy("k", "i", "salt").agg(F.first("o").alias("o"), F.first("m").alias("m"), F.sum("n").alias("n"), F.first("x").alias("x"))
+    return written(those(False).unionByName(added.drop("salt")), "passage-regions")
+
+
 def split(pieces: DataFrame, raw: bytes, bits: int, length: int, width: int) -> DataFrame:
     """Pieces of ``width`` windows from those of crowded groups, in groups by the bytes common to all their windows; written.
 
@@ -287,7 +358,7 @@ def _not_in(pieces: DataFrame, filters: tuple[int, bytes] | None) -> DataFrame:
 
 def repeated_stretches(found: DataFrame, length: int, crowd: int) -> DataFrame:
     """(k, i, lo, hi) for the regions, through as many levels of splitting as their groups need."""
-    pieces = found.where("x IS NOT NULL").select("k", "i", "o", "m", "n", "x")
+    pieces = fewer_copies(found.where("x IS NOT NULL").select("k", "i", "o", "m", "n", "x"))
     parts: list[DataFrame] = []
     origin: list[DataFrame] = []
     for width in (max(1, length // 12), 1, 0):
@@ -318,68 +389,255 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(lo[first].tolist(), hi[last].tolist(), strict=True))
 
 
-def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
-    """``data`` without the (merged) spans."""
+def cut(data: bytes, spans: list[tuple[int, int]]) -> list[bytes]:
+    """The pieces of ``data`` between the (merged) spans."""
     kept, at = [], 0
     for lo, hi in spans:
         kept.append(data[at:lo])
         at = hi
-    return b"".join([*kept, data[at:]])
+    return [*kept, data[at:]]
 
 
 def spans_of_texts(docs: DataFrame, text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
     """(c, spans): the repeated byte spans of each different text that has any, as first byte * 2^32 + end; written."""
     texts = _texts(docs, text_col)
-    found = regions(texts, frequent_grams(texts, length, gram), length, gram)
-    places = found.where("c IS NOT NULL").select("k", "i", "c", "at").distinct()
-    first, end = F.col("at") + F.col("lo"), F.col("at") + F.col("hi") + (length - 1)
-    spans = places.join(repeated_stretches(found, length, crowd), ["k", "i"]).select("c", (F.shiftleft(first, 32) + end).alias("s"))
-    return written(spans.groupBy("c").agg(F.collect_set("s").alias("spans")), "passage-spans")
+    with scope() as kept:
+        found = regions(texts, frequent_grams(texts, length, gram), length, gram)
+        places = found.where("c IS NOT NULL").select("k", "i", "c", "at").distinct()
+        first, end = F.col("at") + F.col("lo"), F.col("at") + F.col("hi") + (length - 1)
+        spans = places.join(repeated_stretches(found, length, crowd), ["k", "i"]).select("c", (F.shiftleft(first, 32) + end).alias("s"))
+        out = written(spans.groupBy("c").agg(F.collect_set("s").alias("spans")), "passage-spans")
+        kept.append(out)
+    return out
 
 
-def cut_texts(docs: DataFrame, spans: DataFrame, text_col: str) -> DataFrame:
-    """(c, kept, n_removed, n_spans) of each different text that has repeated spans, once for each task that read it."""
-    bits, raw = bit_filter(spans.select("c"))
-    sent = docs.sparkSession.sparkContext.broadcast(raw)
+def word_hashes(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits of each word (what stands between ASCII white space, or a bound) of a segment, and where it begins."""
+    table, up, down = _powers()
+    inked = ~_BLANK[data]
+    edge = np.zeros(len(data) + 1, bool)
+    edge[bounds] = True
+    after, before = np.concatenate([[False], inked]), np.concatenate([inked, [False]])
+    first = np.flatnonzero(before & (~after | edge))
+    last = np.flatnonzero(after & (~before | edge))
+    if not len(first):
+        return np.zeros(0, np.uint64), first
+    sums = np.cumsum(np.concatenate([[np.uint64(0)], table[data] * up[: len(data)]]).astype(np.uint64))
+    return _mixed((sums[last] - sums[first]) * down[first]), first
+
+
+def long_word_hashes(data: np.ndarray) -> np.ndarray:
+    """The same of a text that is longer than a segment; words that are themselves longer are hashed alone."""
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(data):
+        end = at + _SEGMENT
+        if end < len(data):
+            blanks = np.flatnonzero(_BLANK[data[at:end]])
+            if len(blanks):
+                end = at + int(blanks[-1]) + 1
+            else:
+                while end < len(data) and not _BLANK[data[end : end + 4096]].any():
+                    end += 4096
+                end = end + int(np.argmax(_BLANK[data[end : end + 4096]])) if end < len(data) else len(data)
+                if end - at > _SEGMENT:
+                    out.append(np.array([_hash64(data[at:end].tobytes()) & (2**64 - 1)], np.uint64))
+                    at = end
+                    continue
+        part = data[at:end]
+        out.append(word_hashes(part, np.array([0, len(part)]))[0])
+        at = end
+    return np.concatenate(out)
+
+
+def word_windows(h: np.ndarray, width: int) -> np.ndarray:
+    """64 bits of each ``width`` neighbouring words, by their hashes; the sums run over a segment."""
+    _, up, down = _powers()
+    out = [np.zeros(0, np.uint64)]
+    for at in range(0, len(h) - width + 1, _SEGMENT):
+        part = h[at : at + _SEGMENT + width - 1]
+        n = len(part)
+        sums = np.cumsum(np.concatenate([[np.uint64(0)], part * up[:n]]).astype(np.uint64))
+        out.append(_mixed((sums[width:] - sums[:-width]) * down[: n - width + 1]))
+    return np.concatenate(out)
+
+
+def word_anchors(h: np.ndarray, words: int, gram: int) -> np.ndarray:
+    """The anchor (a hash of ``gram`` words) of each window of ``words`` words."""
+    grams = word_windows(h, gram)
+    out = [np.zeros(0, np.int64)]
+    width = words - gram + 1
+    for at in range(0, len(h) - words + 1, _SEGMENT):
+        part = grams[at : at + _SEGMENT + width - 1]
+        out.append(part[least_places(part, width)].view(np.int64))
+    return np.concatenate(out)
+
+
+def windows_of(pieces: pa.Array, words: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """For ``chunks`` of pieces, their windows of words: piece (by its number), number of the first word in it, window's hash, anchor's hash."""
+    for i, data, bounds in chunks(pieces):
+        if len(data) > _SEGMENT:
+            h = long_word_hashes(data)
+            piece = np.zeros(len(h), np.int64)
+        else:
+            h, first = word_hashes(data, bounds)
+            piece = np.searchsorted(bounds, first, "right") - 1
+        if len(h) >= words:
+            at = np.flatnonzero(piece[: len(h) - words + 1] == piece[words - 1 :])
+            if len(at):
+                number = at - np.searchsorted(piece, piece[at], "left")
+                yield piece[at] + i, number, word_windows(h, words)[at].view(np.int64), word_anchors(h, words, gram)[at]
+
+
+def shared_passages(left: DataFrame, words: int = WORDS) -> DataFrame:
+    """(c, n_passages) from (c, pieces): of each text that has any, the runs of ``words`` words or more in its pieces whose windows other texts have in theirs; written.
+
+    Words are what stands between ASCII white space, whatever white space that is.
+    """
+    gram = max(1, min(WORD_GRAM, words // 3))
 
-    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+        """(c, place, window, anchor) of all windows; place: the piece's number in the text above, the word's in the piece below."""
         seen: set[int] = set()
         for b in batches:
-            keys = b.column(0).to_numpy(zero_copy_only=False)
             new = []
-            for q in np.flatnonzero(holds(sent.value, bits, keys)).tolist():
-                if int(keys[q]) not in seen:
-                    seen.add(int(keys[q]))
+            for q, c in enumerate(b.column(0).to_pylist()):
+                if c not in seen:
+                    seen.add(c)
                     new.append(q)
-            if new:
-                yield b.take(pa.array(new))
+            some = b.take(pa.array(new, pa.int64()))
+            pieces, c = some.column(1), some.column(0).to_numpy(zero_copy_only=False)
+            begin = pieces.offsets.to_numpy().astype(np.int64)
+            owner = np.repeat(np.arange(len(new)), np.diff(begin))
+            for piece, number, w, g in windows_of(pieces.flatten(), words, gram):
+                own = owner[piece]
+                yield c[own], ((piece - begin[own]) << 32) + number, w, g
+
+    def batched(found: Iterator[tuple[np.ndarray, ...]], names: list[str]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+        size = 0
+        for x in found:
+            held.append(x)
+            size += len(x[0])
+            if size > 50_000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in zip(*held, strict=True)], names=names)
+                held, size = [], 0
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(y)) for y in zip(*held, strict=True)], names=names)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[np.ndarray, ...]]:
+            for c, _, _, g in each(batches):
+                new = np.concatenate([[True], (g[1:] != g[:-1]) | (c[1:] != c[:-1])])
+                yield g[new], c[new]
+
+        return batched(found(), ["g", "c"])
+
+    shared = F.min("c") < F.max("c")
+    grams = left.mapInArrow(lean(anchored), "g bigint, c bigint").groupBy("g").agg(shared.alias("shared")).where("shared").select("g")
+    grams = written(grams, "shared-grams")
+    bits, raw = bit_filter(grams)
+    sent = left.sparkSession.sparkContext.broadcast(raw)
+
+    def windowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[np.ndarray, ...]]:
+            for c, at, w, g in each(batches):
+                some = holds(sent.value, bits, g)
+                if some.any():
+                    yield w[some], c[some], at[some]
+
+        return batched(found(), ["w", "c", "at"])
+
+    windows = written(left.mapInArrow(lean(windowed), "w bigint, c bigint, at bigint"), "shared-windows")
+    counted = written(windows.groupBy("w").agg(shared.alias("shared"), F.count(F.lit(1)).alias("n")).where("shared").select("w", "n"), "shared-counts")
+    w_bits, w_raw = bit_filter(counted.select("w"))
+    w_sent = left.sparkSession.sparkContext.broadcast(w_raw)
+
+    def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            kept, removed, runs = [], [], []
-            for t, s in zip(b.column(1), b.column(2), strict=True):
-                data, found = t.as_py(), merged(s.values.to_numpy(zero_copy_only=False))
-                kept.append(cut(data, found))
-                removed.append(len(data) - len(kept[-1]))
-                runs.append(len(found))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary()), pa.array(removed, pa.int64()), pa.array(runs, pa.int64())], names=["c", "kept", "n_removed", "n_spans"])
+            yield b.filter(pa.array(holds(w_sent.value, w_bits, b.column(0).to_numpy(zero_copy_only=False))))
+
+    hot = skew.hot_keys(counted, "w", "n")
+    places = skew.salted_join(windows.mapInArrow(likely, windows.schema), counted.select("w"), "w", hot, F.col("c"))
+    runs = places.groupBy("c").agg(F.array_sort(F.collect_set("at")).alias("p"))
+    begins = F.filter(F.col("p"), lambda x, i: (i == 0) | (F.get(F.col("p"), i - 1) < x - 1))
+    out = written(runs.select("c", F.size(begins).cast("long").alias("n_passages")), "shared-passages")
+    discard(grams, windows, counted)
+    return out
+
+
+def _of_spans(spans: DataFrame, docs: DataFrame) -> Callable[[bool], Callable]:
+    """Batches of rows (c, ...) whose text may have spans, or of all others; a text once for each task."""
+    bits, raw = bit_filter(spans.select("c"))
+    sent = docs.sparkSession.sparkContext.broadcast(raw)
+
+    def those(found: bool) -> Callable:
+        def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
+            for b in batches:
+                keys = b.column(0).to_numpy(zero_copy_only=False)
+                new = []
+                for q in np.flatnonzero(holds(sent.value, bits, keys) == found).tolist():
+                    if int(keys[q]) not in seen:
+                        seen.add(int(keys[q]))
+                        new.append(q)
+                if new:
+                    yield b.take(pa.array(new))
 
-    texts = _texts(docs, text_col).mapInArrow(once, "c bigint, text binary")
-    return texts.join(spans, "c").select("c", "text", "spans").mapInArrow(lean(run), "c bigint, kept binary, n_removed bigint, n_spans bigint")
+        return once
 
+    return those
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """id, n_bytes, n_removed, n_spans, kept_sha256 for each row.
 
-    A null text counts as empty; texts shorter than ``length`` bytes lose nothing.
-    Repeated rows repeat each other's bytes, so all of them lose these. An empty table
-    gives an empty result; other columns are not looked at. Removal goes by bytes, so
-    what is left need not be UTF-8.
+def cut_texts(docs: DataFrame, spans: DataFrame, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """What is left of each different text.
+
+    (c, pieces, n_removed, n_spans, kept_sha256) of those with repeated spans (and a few
+    more), written; and (c, pieces) of all others, with the whole text, once for each task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (x.slice(at, 512) for x in batches for at in range(0, x.num_rows, 512)):
+            pieces, removed, runs, shas = [], [], [], []
+            for t, s in zip(b.column(1), b.column(2), strict=True):
+                data, found = t.as_py(), merged(s.values.to_numpy(zero_copy_only=False)) if s.is_valid else []
+                pieces.append(cut(data, found))
+                removed.append(len(data) - sum(map(len, pieces[-1])))
+                runs.append(len(found))
+                shas.append(hashlib.sha256(b"".join(pieces[-1])).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pieces, pa.list_(pa.binary())), pa.array(removed, pa.int64()), pa.array(runs, pa.int64()), pa.array(shas, pa.string())], names=["c", "pieces", "n_removed", "n_spans", "kept_sha256"])
+
+    those = _of_spans(spans, docs)
+    schema = "c bigint, text binary"
+    # Each task has a text once; those of all tasks become few by salts, and then one.
+    texts = _texts(docs, text_col).mapInArrow(lean(those(True)), schema).withColumn("salt", F.spark_partition_id() % _SALTS)
+    single = texts.groupBy("c", "salt").agg(F.first("text").alias("text")).groupBy("c").agg(F.first("text").alias("text"))
+    cuts = single.join(spans, "c", "left").select("c", "text", "spans").mapInArrow(lean(run), "c bigint, pieces array<binary>, n_removed bigint, n_spans bigint, kept_sha256 string")
+    others = _texts(docs, text_col).mapInArrow(lean(those(False)), schema).select("c", F.array("text").alias("pieces"))
+    return written(cuts, "passage-cuts"), others
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, words: int = WORDS) -> DataFrame:
+    """id, n_bytes, n_removed, n_spans, kept_sha256, n_repeats for each row.
+
+    A null text counts as empty; texts shorter than ``length`` bytes lose nothing, texts
+    of any length are cut whole. Repeated rows repeat each other's bytes, so all of them
+    lose these. An empty table gives an empty result; other columns are not looked at.
+    Removal goes by bytes, so what is left need not be UTF-8. n_repeats counts the removed
+    spans, and in what is left the passages, of ``words`` words or more, that other texts
+    share but that are too short in bytes to be removed (``shared_passages``).
     """
-    cuts = cut_texts(docs, spans_of_texts(docs, text_col, length, gram, crowd), text_col)
-    # Written, so that the join below can split a text with many rows.
-    digest = written(cuts.select("c", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")).dropDuplicates(["c"]), "passage-cuts")
+    with scope() as kept:
+        cuts, others = cut_texts(docs, spans_of_texts(docs, text_col, length, gram, crowd), text_col)
+        long = others.where(F.octet_length(F.col("pieces")[0]) >= 2 * words - 1)
+        passages = shared_passages(cuts.select("c", "pieces").unionByName(long), words)
+        none = F.lit(0).cast("long")
+        numbers = [F.coalesce(n, none).alias(n) for n in ("n_removed", "n_spans")]
+        digest = cuts.drop("pieces").join(passages, "c", "full").select("c", *numbers, "kept_sha256", (F.coalesce("n_spans", none) + F.coalesce("n_passages", none)).alias("n_repeats"))
+        digest = written(digest.where("n_repeats > 0"), "passage-digests")
+        kept.append(digest)
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("c"), F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("sha"))
-    none = F.lit(0).cast("long")
-    return rows.join(digest, "c", "left").select(F.col("id").alias(id_col), "n_bytes", F.coalesce("n_removed", none).alias("n_removed"), F.coalesce("n_spans", none).alias("n_spans"), F.coalesce("kept_sha256", "sha").alias("kept_sha256"))
+    hot = skew.hot_keys(docs.select(F.xxhash64(text).alias("c")).groupBy("c").agg(F.count(F.lit(1)).alias("n")), "c", "n", docs.count())
+    joined = skew.salted_join(rows, digest, "c", hot, F.monotonically_increasing_id(), "left")
+    numbers = [F.coalesce(n, none).alias(n) for n in ("n_removed", "n_spans", "n_repeats")]
+    return joined.select(F.col("id").alias(id_col), "n_bytes", *numbers[:2], F.coalesce("kept_sha256", "sha").alias("kept_sha256"), numbers[2])
