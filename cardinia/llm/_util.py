@@ -37,10 +37,13 @@ def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
     """``run``, giving its memory back to the system when a task ends.
 
     Spark keeps Python workers for later tasks, and the C library would keep for each
-    the most that any task has needed.
+    the most that any task has needed. What a worker has imported before its first task
+    stays out of these collections, which would take longer than many a task.
     """
 
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not gc.get_freeze_count():
+            gc.freeze()
         yield from run(batches)
         gc.collect()
         pa.default_memory_pool().release_unused()

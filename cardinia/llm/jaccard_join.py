@@ -23,6 +23,7 @@ are joined. A class with n shingles links to another if they share enough of the
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -47,6 +48,8 @@ SMALL = 32
 FREQUENT, CROWDED, SALTS = 4096, 8, 64
 #: Offers of a large bucket that meet in one task when its late pairs are made.
 DEALT = 2048
+#: The ratio of a band's sizes: a little more than that of the sizes of two linked classes can be.
+_BAND = 1.25 + 1e-6
 #: Counters that a task gathers before it adds them up.
 _GATHERED = 1 << 21
 
@@ -184,7 +187,9 @@ def buckets(offered: DataFrame, signatures: DataFrame, salts: int = SALTS) -> Da
     if hot.isEmpty():
         return plain
     whole = hot.groupBy("h").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.max("any").alias("any"), F.count(F.lit(1)).alias("z")).where("lo < hi AND any")
-    return plain.unionByName(written(hot.drop("z").join(written(whole.select("h", "z"), "near-frequent"), "h").select(*columns), "near-buckets"))
+    whole = written(whole.select("h", "z"), "near-frequent")
+    dealt = skew.salted_join(hot.drop("z", "salt"), whole, "h", skew.hot_keys(whole, "h", "z"), F.col("c"))
+    return plain.unionByName(written(dealt.select(*columns), "near-buckets"))
 
 
 def _offer(*more: str) -> Column:
@@ -217,8 +222,10 @@ def first_pairs(found: DataFrame, small: int = SMALL) -> DataFrame:
     pairs = few.join(few.select("h", F.col("x").alias("y")), "h").where(_once("x", "y") & _possible("x", "y"))
     many = found.where(F.col("z") > small)
     picked = F.struct(F.xxhash64("c", "h").alias("r"), _offer().alias("y"))
-    pivots = written(many.groupBy("h").agg(F.array(F.min(picked).getField("y"), F.max(picked).getField("y")).alias("ys")), "near-pivots")
-    starred = many.select("h", _offer().alias("x")).join(pivots, "h").select("x", F.explode("ys").alias("y")).where(_possible("x", "y"))
+    pivots = written(many.groupBy("h").agg(F.array(F.min(picked).getField("y"), F.max(picked).getField("y")).alias("ys"), F.count(F.lit(1)).alias("offers")), "near-pivots")
+    hot = skew.hot_keys(pivots, "h", "offers")
+    met = skew.salted_join(many.select("h", _offer().alias("x")), pivots.select("h", "ys"), "h", hot, F.col("x.c"))
+    starred = met.select("x", F.explode("ys").alias("y")).where(_possible("x", "y"))
     return _ordered(pairs).unionByName(_ordered(starred)).distinct()
 
 
@@ -226,14 +233,19 @@ def late_pairs(found: DataFrame, labels: DataFrame, small: int = SMALL, dealt: i
     """Possible pairs of large buckets whose classes are still in different components."""
     many = found.where(F.col("z") > small)
     many = many.join(labels.select(F.col("v").alias("c"), "label"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    open_ = many.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("h")
-    # One side of a very large bucket is dealt out, the other copied to each part.
+    many = written(many, "near-many")
+    open_ = written(many.groupBy("h").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("offers")).where("lo < hi").select("h", "offers"), "near-open")
+    # Classes that may link are in the same band of sizes or in neighbouring ones. One side
+    # of a very large bucket is dealt out, the other copied to each part.
+    band = F.floor(F.log("n") / math.log(_BAND)).cast("int").alias("band")
     parts = F.greatest(F.lit(1), F.ceil(F.col("z") / dealt)).cast("int")
-    me = written(many.join(open_, "h").select("h", parts.alias("parts"), _offer("label").alias("x")), "near-open")
-    left = me.select("h", F.pmod(F.xxhash64("x.c"), F.col("parts")).cast("int").alias("part"), "x")
-    right = me.select("h", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("x").alias("y"))
+    met = skew.salted_join(many, open_.select("h"), "h", skew.hot_keys(open_, "h", "offers"), F.col("c"))
+    me = written(met.select("h", band, parts.alias("parts"), _offer("label").alias("x")), "near-open")
+    left = me.select("h", "band", F.pmod(F.xxhash64("x.c"), F.col("parts")).cast("int").alias("part"), "x")
+    near = F.explode(F.array(*[F.col("band") + d for d in (-1, 0, 1)])).alias("band")
+    right = me.select("h", near, "parts", F.col("x").alias("y")).select("h", "band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "y")
     across = F.col("x.label") != F.col("y.label")
-    return _ordered(left.join(right, ["h", "part"]).where(across & _once("x", "y") & _possible("x", "y"))).distinct()
+    return _ordered(left.join(right, ["h", "band", "part"]).where(across & _once("x", "y") & _possible("x", "y"))).distinct()
 
 
 def shingle_sets(docs: DataFrame, text_col: str, keys: DataFrame, width: int = WIDTH) -> DataFrame:

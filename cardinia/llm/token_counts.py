@@ -207,8 +207,8 @@ def counter(path: str | None = None) -> PrefixCounter:
 def count_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", limit: int = LIMIT, path: str | None = None) -> DataFrame:
     """id, n_bytes, n_tokens, over_limit for each row, from the last prefix of its whole text.
 
-    Null counts as the empty text, which has no tokens. Repeated rows are counted each
-    on its own. An empty table gives an empty result; other columns are not read.
+    Null counts as the empty text, which has no tokens; texts of any length are counted
+    whole. Repeated rows are counted each on its own. An empty table gives an empty result; other columns are not read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
