@@ -27,11 +27,11 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while True:
         seen = skew.salted_join(both, labels.select(F.col("v").alias("u"), "label"), "u", hubs, F.xxhash64("v"))
         near = seen.groupBy("v").agg(F.min("label").alias("near"))
-        low = written(labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label")), "labels")
-        heads = skew.hot_keys(low.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label", "n", vertices)
+        low = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        heads = skew.hot_keys(labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")), "label", "n", vertices)
         jump = low.select(F.col("v").alias("label"), F.col("label").alias("further"))
         new = written(skew.salted_join(low, jump, "label", heads, F.xxhash64("v")).select("v", "old", F.least("label", "further").alias("label")), "labels")
-        discard(labels, low)
+        discard(labels)
         if new.where("old <> label").isEmpty():
             discard(both)
             return new.select("v", "label")

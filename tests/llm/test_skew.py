@@ -27,7 +27,7 @@ def balanced(df) -> bool:
 
 
 def test_salted_joins_are_balanced(plain):
-    rows = plain.range(60_000).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE CAST(id % 20000 AS STRING) END AS k")
+    rows = plain.range(60_000, numPartitions=4).selectExpr("id", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE CAST(id % 20000 AS STRING) END AS k")
     counts = rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
     single = counts.select("k", (F.col("n") * 2).alias("m"))
     hot = skew.hot_keys(counts, "k", "n")
@@ -57,9 +57,10 @@ def test_exact_dedup_of_a_text_on_a_third_of_all_rows(plain):
 
 def test_components_of_a_star(plain, monkeypatch):
     monkeypatch.setattr(skew, "LEAST", 100)
-    links = plain.range(1, 3000).selectExpr("CAST(0 AS BIGINT) AS a", "id AS b").union(plain.range(5000, 5100).selectExpr("id AS a", "id + 1 AS b"))
+    plain.conf.set("spark.sql.shuffle.partitions", "4")
+    links = plain.range(1, 3000).selectExpr("CAST(0 AS BIGINT) AS a", "id AS b").union(plain.range(5000, 5030).selectExpr("id AS a", "id + 1 AS b"))
     found = {r.v: r.label for r in components(links).collect()}
-    assert found == dict.fromkeys(range(3000), 0) | dict.fromkeys(range(5000, 5101), 5000)
+    assert found == dict.fromkeys(range(3000), 0) | dict.fromkeys(range(5000, 5031), 5000)
 
 
 def test_near_copies_of_a_third_of_all_rows(plain, monkeypatch):
