@@ -1,5 +1,9 @@
 """Files, workloads, the cache, the command line and streams."""
 
+import os
+import re
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +11,7 @@ from cardinia import cli
 from cardinia.catalogue import FAMILY, TWO_WAY, key
 from cardinia.operators import sketches
 from cardinia.plans.dataset import Column, Table
+from cardinia.sources import scratch
 from cardinia.sources import tables as sources
 from cardinia.streaming.sketch_stream import streaming_sketch
 from tests.oracle import SMALL
@@ -95,3 +100,24 @@ def test_windowed_stream(spark, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.table("windows").agg(F.sum("v")).first()[0] == events.count()
+
+
+def _held(pid):
+    """MB that a process has, without mapped files."""
+    return sum(map(int, re.findall(r"\nPss_Anon:\s+(\d+)", Path(f"/proc/{pid}/smaps_rollup").read_text()))) / 1024
+
+
+def test_writing_gives_back_what_the_driver_has_freed(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "_PAUSE", 0.0, raising=False)
+    jvm = int(spark._jvm.java.lang.ProcessHandle.current().pid())
+    scratch.discard(scratch.materialised(spark.range(1), "before"))
+    # Blocks that stay in between keep the C library from giving back the others.
+    blocks = [bytes(4000) for _ in range(50_000)]
+    blocks = blocks[::50]
+    deflaters = [spark._jvm.java.util.zip.Deflater() for _ in range(800)]
+    for q, x in enumerate(deflaters):
+        if q % 20:
+            x.end()
+    python, java = _held(os.getpid()), _held(jvm)
+    scratch.discard(scratch.materialised(spark.range(1), "after"))
+    assert python - _held(os.getpid()) > 30 and java - _held(jvm) > 30
