@@ -14,8 +14,9 @@ into stretches that share an anchor; a stretch with its bytes is a region.
    common to those windows, and where even these crowd, into single windows.
 4. Each task sorts the suffixes of its groups in two stages (``suffix_array``) and
    compares neighbours: common prefixes of ``length`` bytes are repeated windows.
-5. They go back to all places that the region occurs at, are joined to spans per
-   distinct text, and cut out.
+5. What its pieces have found becomes one row for each region, with its stretches. It
+   goes to all places that the region occurs at; these are joined to spans per distinct
+   text, and cut out.
 
 Passages of ``WORDS`` words may be shorter than ``length`` bytes. In what is left they are
 counted, in the same manner with words for bytes: their windows have anchors, too, and
@@ -32,7 +33,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cardinia.llm import skew
@@ -46,7 +47,7 @@ GRAM = 128
 WORDS, WORD_GRAM = 51, 12
 #: Different regions of a group from which it is split by content.
 CROWD = 500
-#: Rows of one region, each from another task, from which they are added up before they meet its group.
+#: Rows of one region, each from another task, or of one piece, each from another region, from which they are added up before they meet their group.
 COPIES = 16
 #: Bytes that are searched for anchors at a time, of many short texts or of one of any length.
 _SEGMENT = 1 << 17
@@ -235,7 +236,7 @@ def crowded(pieces: DataFrame, crowd: int) -> DataFrame:
 
 
 def fewer_copies(pieces: DataFrame, copies: int = COPIES) -> DataFrame:
-    """``pieces`` with ``_SALTS`` rows at most of each region that more than ``copies`` tasks have seen."""
+    """``pieces`` with ``_SALTS`` rows at most of each that has more than ``copies``: of a region that many tasks have seen, or of a piece of many regions."""
     many = written(pieces.groupBy("k", "i").agg(F.count(F.lit(1)).alias("r")).where(F.col("r") > copies).select("i").distinct(), "passage-copies")
     if many.isEmpty():
         return pieces
@@ -287,7 +288,7 @@ def split(pieces: DataFrame, raw: bytes, bits: int, length: int, width: int) ->
 
 
 def repeats(pieces: DataFrame, length: int) -> DataFrame:
-    """(k, i, lo, hi): stretches of windows of each different piece that another piece, or another copy, repeats."""
+    """(k, i, runs): for each different piece, the stretches of its windows that another piece, or another copy, repeats, as first * 2^32 + end."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[int, int], list] = {}
@@ -314,8 +315,11 @@ def repeats(pieces: DataFrame, length: int) -> DataFrame:
             held.clear()
             if not use.any():
                 return None
-            k, i = (np.array([keys[q][z] for q in own[use]], np.int64) for z in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(i), pa.array(first[use] - every.starts[text[use]]), pa.array(last[use] + 1 - every.starts[text[use]])], names=["k", "i", "lo", "hi"])
+            own, first, last = own[use], (first - every.starts[text])[use], (last + 1 - every.starts[text])[use]
+            new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            k, i = (np.array([keys[q][z] for q in own[new]], np.int64) for z in (0, 1))
+            runs = pa.ListArray.from_arrays(pa.array(np.append(new, len(own)), pa.int32()), pa.array((first << 32) + last, pa.int64()))
+            return pa.RecordBatch.from_arrays([pa.array(k), pa.array(i), runs], names=["k", "i", "runs"])
 
         for b in batches:
             for k, i, m, n, x in zip(*(b.column(q).to_pylist() for q in range(4)), b.column(4), strict=True):
@@ -339,7 +343,7 @@ def repeats(pieces: DataFrame, length: int) -> DataFrame:
                 yield done
 
     grouped = pieces.select("k", "i", "m", "n", "x").repartition("k").sortWithinPartitions("k")
-    return grouped.mapInArrow(lean(run), "k bigint, i bigint, lo bigint, hi bigint")
+    return grouped.mapInArrow(lean(run), "k bigint, i bigint, runs array<bigint>")
 
 
 def _not_in(pieces: DataFrame, filters: tuple[int, bytes] | None) -> DataFrame:
@@ -356,26 +360,40 @@ def _not_in(pieces: DataFrame, filters: tuple[int, bytes] | None) -> DataFrame:
     return pieces.mapInArrow(lean(run), pieces.schema)
 
 
+def _shifted(runs: str, by: Column, longer: int = 0) -> Column:
+    return F.transform(runs, lambda r: r + F.shiftleft(by, 32) + by + longer)
+
+
+def of_origins(came: DataFrame, found: DataFrame) -> DataFrame:
+    """(k, i, runs) of what was split, one row each, from those of its pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            runs = [[(lo << 32) + hi for lo, hi in merged(r.values.to_numpy(zero_copy_only=False))] for r in b.column(2)]
+            yield b.set_column(2, "runs", pa.array(runs, pa.list_(pa.int64())))
+
+    each = came.join(found, ["k", "i"]).select(F.col("k0").alias("k"), F.col("i0").alias("i"), _shifted("runs", F.col("lo")).alias("runs"))
+    return each.groupBy("k", "i").agg(F.flatten(F.collect_list("runs")).alias("runs")).mapInArrow(lean(run), "k bigint, i bigint, runs array<bigint>")
+
+
 def repeated_stretches(found: DataFrame, length: int, crowd: int) -> DataFrame:
-    """(k, i, lo, hi) for the regions, through as many levels of splitting as their groups need."""
+    """(k, i, runs) for the regions, one row each, through as many levels of splitting as their groups need."""
     pieces = fewer_copies(found.where("x IS NOT NULL").select("k", "i", "o", "m", "n", "x"))
     parts: list[DataFrame] = []
     origin: list[DataFrame] = []
     for width in (max(1, length // 12), 1, 0):
         many = crowded(pieces, crowd) if width else None
         filters = bit_filter(many) if many is not None and not many.isEmpty() else None
-        part = repeats(_not_in(pieces, filters), length)
-        for came in reversed(origin):
-            part = came.join(part.withColumnsRenamed({"lo": "l", "hi": "h"}), ["k", "i"]).select(F.col("k0").alias("k"), F.col("i0").alias("i"), (F.col("lo") + F.col("l")).alias("lo"), (F.col("lo") + F.col("h")).alias("hi"))
-        parts.append(part)
+        parts.append(repeats(_not_in(pieces, filters), length))
         if filters is None:
             break
         smaller = split(pieces, filters[1], filters[0], length, width)
         origin.append(smaller.select("k", "i", "k0", "i0", "lo").distinct())
-        pieces = smaller.select("k", "i", "o", "m", "n", "x")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+        pieces = fewer_copies(smaller.select("k", "i", "o", "m", "n", "x"))
+    # A region in many texts is joined with one row, however many stretches its pieces gave.
+    out = parts.pop()
+    while origin:
+        out = parts.pop().unionByName(of_origins(origin.pop(), out))
     return out
 
 
@@ -404,9 +422,9 @@ def spans_of_texts(docs: DataFrame, text_col: str = "text", length: int = LENGTH
     with scope() as kept:
         found = regions(texts, frequent_grams(texts, length, gram), length, gram)
         places = found.where("c IS NOT NULL").select("k", "i", "c", "at").distinct()
-        first, end = F.col("at") + F.col("lo"), F.col("at") + F.col("hi") + (length - 1)
-        spans = places.join(repeated_stretches(found, length, crowd), ["k", "i"]).select("c", (F.shiftleft(first, 32) + end).alias("s"))
-        out = written(spans.groupBy("c").agg(F.collect_set("s").alias("spans")), "passage-spans")
+        spans = places.join(repeated_stretches(found, length, crowd), ["k", "i"])
+        spans = spans.select("c", _shifted("runs", F.col("at"), length - 1).alias("s"))
+        out = written(spans.groupBy("c").agg(F.flatten(F.collect_list("s")).alias("spans")), "passage-spans")
         kept.append(out)
     return out
 

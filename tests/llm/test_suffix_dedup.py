@@ -84,6 +84,37 @@ def test_a_frequent_line_in_ever_new_company(spark):
         assert result(frame(spark, rows), length=length, gram=8, crowd=5) == [(i, *x) for i, x in enumerate(brute(texts, length))]
 
 
+def test_a_piece_of_many_regions_comes_in_few_rows(spark, monkeypatch):
+    rng = random.Random(12)
+    line = "this very line is everywhere"
+    texts = ["".join(rng.choices("abcdefgh", k=20)) + line + "".join(rng.choices("abcdefgh", k=20)) for _ in range(60)]
+    most, real = [], suffix_dedup.repeats
+
+    def counted(pieces, length):
+        most.append(max([r["count"] for r in pieces.groupBy("k", "i").count().collect()], default=0))
+        return real(pieces, length)
+
+    monkeypatch.setattr(suffix_dedup, "repeats", counted)
+    got = result(frame(spark, [(i, t, *[None] * 11) for i, t in enumerate(texts)]), length=20, gram=8, crowd=5)
+    assert len(most) > 1 and max(most) <= suffix_dedup.COPIES
+    assert got == [(i, *x) for i, x in enumerate(brute(texts, 20))]
+
+
+def test_a_region_of_many_texts_has_one_row_of_stretches(spark):
+    """However finely its group is split: its places are as many as the texts, and its windows need not multiply them."""
+    rng = random.Random(11)
+    line = "this very line is everywhere"
+    company = ["".join(rng.choices("abcdefgh", k=20)) + line + "".join(rng.choices("abcdefgh", k=20)) for _ in range(40)]
+    texts = company + [f"{company[0]} {i:03}" for i in range(60)]
+    how = {"length": 20, "gram": 8}
+    df = frame(spark, [(i, t, *[None] * 11) for i, t in enumerate(texts)])
+    grams = suffix_dedup.frequent_grams(suffix_dedup._texts(df, "text"), **how)
+    found = suffix_dedup.regions(suffix_dedup._texts(df, "text"), grams, **how)
+    rows = suffix_dedup.repeated_stretches(found, 20, 5).select("k", "i").collect()
+    assert rows and len(rows) == len(set(rows))
+    assert result(df, crowd=5, **how) == [(i, *x) for i, x in enumerate(brute(texts, 20))]
+
+
 def test_long_texts_are_cut_in_segments(monkeypatch):
     rng = np.random.default_rng(1)
     data = rng.integers(97, 123, 3000, dtype=np.uint8).tobytes()
